@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenkpi.llm import packing
+from lumenkpi.llm import langid, packing, quality, transducer
 
-MODULES = (packing,)
+MODULES = (quality, langid, packing, transducer)
 
 
 def queries() -> dict:
