@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenkpi.llm import langid, packing, quality, transducer
+from lumenkpi.llm import langid, neardup, packing, quality, transducer
 
-MODULES = (quality, langid, packing, transducer)
+MODULES = (quality, langid, neardup, packing, transducer)
 
 
 def queries() -> dict:

@@ -144,8 +144,8 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[
         if b - a >= width:
             out.append(np.unique(window[a : b - width + 1]))
         elif b > a:
-            few = (hashes[a:b] * powers(2 * width + 2)[2 : 2 * (b - a) + 2 : 2]).sum() + np.uint64(b - a) * _GOLD
-            out.append(mix(np.array([few], np.uint64)))
+            few = (hashes[a:b] * powers(2 * width + 2)[2 : 2 * (b - a) + 2 : 2]).sum(keepdims=True) + np.array([b - a], np.uint64) * _GOLD
+            out.append(mix(few))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -172,7 +172,7 @@ class FastSketch:
     def __init__(self, t: int = 128, seed: int = 1):
         assert t & (t - 1) == 0 and 2 <= t <= 128, "t is a power of two up to 128"
         self.t = t
-        self.seeds = mix(np.arange(1, 2 * t + 1, dtype=np.uint64) * _GOLD + np.uint64(seed) * _M1)
+        self.seeds = mix(np.arange(1, 2 * t + 1, dtype=np.uint64) * _GOLD + np.uint64(seed * int(_M1) % (1 << 64)))
         self.shift = np.uint64(64 - t.bit_length() + 1)
 
     def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
