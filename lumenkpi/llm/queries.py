@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenkpi.llm import langid, neardup, packing, quality, transducer
+from lumenkpi.llm import kdtree, langid, neardup, packing, paragraphs, quality, transducer
 
-MODULES = (quality, langid, neardup, packing, transducer)
+MODULES = (quality, langid, kdtree, neardup, packing, transducer, paragraphs)
 
 
 def queries() -> dict:

@@ -207,7 +207,7 @@ def band_hashes(sketches: np.ndarray, rows: int) -> np.ndarray:
     parts = sketches.reshape(n, t // rows, rows)
     out = np.zeros((n, t // rows), np.uint64)
     for j in range(rows):
-        out = mix(out ^ (parts[:, :, j] + np.uint64(j + 1) * _GOLD))
+        out = mix(out ^ (parts[:, :, j] + np.uint64((j + 1) * int(_GOLD) % (1 << 64))))
     return mix(out + np.arange(1, t // rows + 1, dtype=np.uint64) * _M2).view(np.int64)
 
 
