@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenkpi.llm import kdtree, langid, neardup, packing, paragraphs, quality, transducer
+from lumenkpi.llm import kdtree, langid, neardup, packing, paragraphs, quality, secrets, transducer
 
-MODULES = (quality, langid, kdtree, neardup, packing, transducer, paragraphs)
+MODULES = (quality, langid, kdtree, neardup, secrets, packing, transducer, paragraphs)
 
 
 def queries() -> dict:
