@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenkpi.llm import kdtree, langid, neardup, packing, paragraphs, quality, secrets, transducer
+from lumenkpi.llm import kdtree, langid, linededup, neardup, packing, paragraphs, quality, secrets, syncmers, transducer
 
-MODULES = (quality, langid, kdtree, neardup, secrets, packing, transducer, paragraphs)
+MODULES = (quality, langid, kdtree, neardup, secrets, packing, linededup, transducer, paragraphs, syncmers)
 
 
 def queries() -> dict:
