@@ -31,8 +31,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.quality_filter(spark, docs, sf_dir)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` (if there is one) as the text now has them."""
+    n = F.coalesce(F.length("text").cast("long"), F.col("n_chars") if "n_chars" in docs.columns else F.lit(None))
+    return docs.withColumn("n_chars", n) if "n_chars" in docs.columns else docs
+
+
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.line_dedup(docs)
+    out = _counted(linededup.line_dedup(docs))
     emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
@@ -43,7 +49,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs).select(*docs.columns)
+    return _counted(secrets.redact(docs)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
