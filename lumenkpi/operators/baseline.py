@@ -11,6 +11,7 @@ from lumenkpi.config import Config
 from lumenkpi.errors import InvalidInput
 from lumenkpi.functions.buckets import BUCKET, with_buckets
 from lumenkpi.functions.flags import is_clean
+from lumenkpi.functions.ids import numbered
 from lumenkpi.schemas import need_columns
 
 STATISTICS = ["mean_value", "median_value", "std_value", "p5_value", "p95_value", "sample_count"]
@@ -66,16 +67,17 @@ def in_report_order(rows: DataFrame) -> DataFrame:
 def upsert_baselines(stored: DataFrame, computed: DataFrame) -> DataFrame:
     """The stored baselines with those computed replaced or added; ids stay, new rows get the next ones.
 
-    New ids follow the order of the report within each partition of the key's hash and are unique, not dense.
+    New ids are above all stored ones, unique, not dense.
     """
     fields = [c for c in computed.columns if c not in BUCKET and c != "id"]
     new = computed.select(*[F.col(c).alias(f"_new_{c}") for c in [*BUCKET, *fields]], F.lit(True).alias("_is_new"))
     on = [F.col(c) == F.col(f"_new_{c}") for c in BUCKET]
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     joined = stored.join(new, on, "full_outer").join(F.broadcast(top))  # one row
-    fresh = F.col("_top") + 1 + F.monotonically_increasing_id()
+    joined = joined.withColumnRenamed("id", "_id").withColumns({f"_key_{c}": F.coalesce(c, f"_new_{c}") for c in BUCKET})
+    joined = numbered(joined, F.col("_top"), [f"_key_{c}" for c in BUCKET])
     return joined.select(
-        F.coalesce("id", fresh).alias("id"),
-        *[F.coalesce(c, f"_new_{c}").alias(c) for c in BUCKET],
+        F.coalesce("_id", "id").alias("id"),
+        *[F.col(f"_key_{c}").alias(c) for c in BUCKET],
         *[F.when(F.col("_is_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in fields],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenkpi.errors import InvalidInput, NotFound
+from lumenkpi.functions.ids import numbered
 
 TEXTS = ("kpi_name", "meaning_increase", "meaning_decrease", "created_by", "status")
 LISTS = ("common_causes_increase", "common_causes_decrease", "related_kpis")
@@ -29,9 +30,9 @@ def create_versions(entries: DataFrame, new: DataFrame, now: dt.datetime | None
     top = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     rows = rows.join(F.broadcast(top)).withColumns({  # one row
         "version": (F.coalesce("next_version", F.lit(1)) + F.col("_n")).cast("int"), "status": F.lit("draft"),
-        "created_at": F.lit(now or dt.datetime.now(dt.UTC)), "id": F.col("_top") + 1 + F.monotonically_increasing_id(),
+        "created_at": F.lit(now or dt.datetime.now(dt.UTC)),
     })
-    return entries.unionByName(rows.select(*entries.columns))
+    return entries.unionByName(numbered(rows, F.col("_top"), ["kpi_name", "version"]).select(*entries.columns))
 
 
 def _find(entries: DataFrame, entry_id: int):

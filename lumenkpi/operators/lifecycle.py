@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenkpi.errors import InvalidInput, NotFound
+from lumenkpi.functions.ids import numbered
 from lumenkpi.schemas import STATUSES, dangling, require
 
 #: From each status the ones it may change to; staying is always allowed.
@@ -35,7 +36,7 @@ def create_events(events: DataFrame, new: DataFrame, elements: DataFrame, now: d
     at = F.lit(now or dt.datetime.now(dt.UTC))
     top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     rows = new.withColumns({"status": F.coalesce("status", F.lit("draft")), "created_at": at, "updated_at": at}).join(F.broadcast(top))  # one row
-    rows = rows.withColumn("id", F.col("_top") + 1 + F.monotonically_increasing_id())
+    rows = numbered(rows, F.col("_top"), [c for c in events.columns if c not in ("id", "created_at", "updated_at")])
     return events.unionByName(require(rows.select(*events.columns), "impact_events"))
 
 
