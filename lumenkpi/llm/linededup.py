@@ -10,7 +10,8 @@ candidates are compared as the least and the greatest of each hash, so that no g
 
 Edge cases: null and empty texts stay as they are; a chunk of blank lines only is never removed; rows with a null
 ``doc_id`` come first in the order; rows equal in ``doc_id`` and text are one document, with one result for each row;
-other columns are kept or ignored, whatever their names; an empty table gives an empty result; long texts are cut whole.
+other columns are kept, whatever their names
+(``n_lines`` and ``n_removed`` are replaced); an empty table gives an empty result; long texts are cut whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkpi.llm.shared import cut, ship, table
+from lumenkpi.llm.shared import cut, fold, ship, table, unfold
 
 DIVISOR = 3
 MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
@@ -46,7 +47,7 @@ def _same() -> Column:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """_id, _h, spans: per document (id and hash of its text) the chunks to be removed, as (first line, end)."""
     ship(docs.sparkSession)
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
     hashed = _with_chunks(texts).select("doc_id", "h", F.expr(f"explode(transform(_chunks, c -> struct(c.first AS first, c.stop AS stop, xxhash64({_CHUNK_TEXT}) AS x)))").alias("c"))
     chunks = cut(hashed.select("doc_id", "h", "c.*").distinct(), "chunks")
     often = cut(chunks.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select(F.col("x").alias("_x")), "often")
@@ -69,13 +70,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated chunks in ``text``; adds ``n_lines`` and ``n_removed``."""
     spans = repeated_chunks(docs)
-    joined = docs.withColumn("h", F.xxhash64("text")).join(spans, _same(), "left").withColumn("_lines", F.split("text", "\n", -1))
+    joined = fold(docs).withColumn("h", F.xxhash64("text")).join(spans, _same(), "left").withColumn("_lines", F.split("text", "\n", -1))
     gone = "exists(spans, c -> i >= c.first AND i < c.stop)"
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter(_lines, (x, i) -> NOT {gone}), '\\n')"))
     removed = F.expr("coalesce(aggregate(spans, 0L, (s, c) -> s + c.stop - c.first), 0L)")
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long")
+    return joined.select(*unfold(joined, [c for c in docs.columns if c not in ("n_lines", "n_removed")], text), n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

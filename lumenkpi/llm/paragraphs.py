@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, ship, table
+from lumenkpi.llm.shared import cut, fold, ship, table, unfold
 
 MIN_WORDS, NEAR_WORDS, RADIUS = 8, 32, 6
 T_SKETCH, ROWS = 64, 4  # 16 bands: a pair of similarity 0.75 is found with probability 0.998, one of 0.85 with 0.99999
@@ -182,12 +182,13 @@ def strip_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the removed paragraphs cut out of ``text``; all other columns as they are."""
     spans = found.where("removed").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))  # within one text
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_spans")
-    on = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    on = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
     kept = """aggregate(_spans, struct(0 AS at, '' AS kept),
         (s, x) -> struct(greatest(s.at, x.stop) AS at, s.kept || substring(text, s.at + 1, greatest(0, x.start - s.at)) AS kept),
         s -> s.kept || substring(text, s.at + 1))"""
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(kept))
-    return docs.join(spans, on, "left").withColumn("text", text).drop("_id", "_h", "_spans")
+    rows = fold(docs).join(spans, on, "left")
+    return rows.select(*unfold(rows, docs.columns, text))
 
 
 def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkpi.llm.shared import shared_dir, ship, table
+from lumenkpi.llm.shared import fold, shared_dir, ship, table, unfold
 
 
 @dataclass(frozen=True)
@@ -112,23 +112,20 @@ class BlobLedger:
         rows = rows.select("blob", F.array_sort(F.filter("found", lambda x: x["rule"].isin(now))).alias("found"))
         return rows.where(F.size("found") > 0)
 
-    def report(self, versions: DataFrame, content: str = "content") -> DataFrame:
-        """``versions`` with the findings in the content of each row (column ``found``, never null)."""
-        here = versions.withColumn("_blob", blob_id(F.col(content)))
+    def report(self, versions: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+        """``path`` and ``found`` (never null) of every row of ``versions``."""
+        here = versions.select(F.col(path).alias("path"), blob_id(F.col(content)).alias("_blob"))
         found = self.findings().select(F.col("blob").alias("_found_blob"), F.col("found").alias("_found"))
         out = here.join(found, F.col("_blob") == F.col("_found_blob"), "left")
-        return out.withColumn("found", F.coalesce("_found", F.expr(f"cast(array() AS {_FOUND})"))).drop("_blob", "_found_blob", "_found")
+        return out.select("path", F.coalesce("_found", F.expr(f"cast(array() AS {_FOUND})")).alias("found"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id`` and ``found`` of every document, through a ledger of its own in the shared folder."""
     spark = docs.sparkSession
-    versions = docs.select("doc_id", F.col("text").alias("content"))
     ledger = BlobLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", rules)
-    ledger.update(versions)
-    here = versions.select("doc_id", blob_id("content").alias("blob"))
-    found = ledger.findings().withColumnRenamed("blob", "_blob")
-    return here.join(found, F.col("blob") == F.col("_blob"), "left").select("doc_id", F.coalesce("found", F.expr(f"cast(array() AS {_FOUND})")).alias("found"))
+    ledger.update(docs, "text")
+    return ledger.report(docs, "doc_id", "text").withColumnRenamed("path", "doc_id")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +147,9 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
         (s, x) -> if(x.start < s.at, struct(greatest(s.at, x.stop) AS at, s.kept AS kept),
                      struct(x.stop AS at, s.kept || substring(text, s.at + 1, x.start - s.at) || '{marker}' AS kept)),
         s -> s.kept || substring(text, s.at + 1)))"""
-    return docs.join(found, blob_id("text") == F.col("_blob"), "left").withColumn("text", F.expr(clean)).drop("_blob", "_found")
+    rows = fold(docs)
+    rows = rows.join(found, blob_id("text") == F.col("_blob"), "left")
+    return rows.select(*unfold(rows, docs.columns, F.expr(clean)))
 
 
 def _oracle() -> str:

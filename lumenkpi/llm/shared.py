@@ -73,6 +73,13 @@ def spread(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
-def row_hash(*cols: Column | str) -> Column:
-    """A 64-bit content hash of columns, the same on every run."""
-    return F.xxhash64(*cols)
+def fold(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all columns but the text in one struct, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+
+
+def unfold(df: DataFrame, columns: list[str], text: Column | str = "text") -> list[Column]:
+    """The columns of the frame that was folded into ``df``, with ``text`` in place of its text."""
+    new = F.col(text) if isinstance(text, str) else text
+    return [new.alias("text") if c == "text" else df["row"].getField(c).alias(c) for c in columns]
