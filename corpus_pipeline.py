@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import linededup, neardup, packing, quality, secrets
-from lumenkpi.llm.shared import cut, table
+from lumenkpi.llm.shared import cut, fold, table, unfold
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,7 +45,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    return docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    rows = fold(docs)
+    rows = rows.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return rows.select(*unfold(rows, docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
