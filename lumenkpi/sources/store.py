@@ -1,7 +1,8 @@
 """Tables as Parquet folders: append, replace, point and range reads, sorted listings.
 
 A replaced table is written beside the old one and a pointer file is switched last, so readers see either the old or the
-new rows and a failed write changes nothing.  There is no atomicity across tables.
+new rows and a failed write changes nothing; the version before stays until the next replacement, for readers that are
+still at it.  There is no atomicity across tables.
 """
 
 from __future__ import annotations
@@ -34,16 +35,20 @@ class Store:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
-    def _current(self, table: str) -> str | None:
+    def _versions(self, table: str) -> list[str]:
+        """The current version and, if there is one, that before."""
         pointer = self._path(table, "_current")
         if not self._fs.exists(pointer):
-            return None
+            return []
         stream = self._fs.open(pointer)
         try:
-            return self.spark._jvm.org.apache.hadoop.io.Text.decode(bytearray(stream.readAllBytes()))
+            return self.spark._jvm.org.apache.hadoop.io.Text.decode(bytearray(stream.readAllBytes())).split()
         finally:
             stream.close()
 
+    def _current(self, table: str) -> str | None:
+        return next(iter(self._versions(table)), None)
+
     def _switch(self, table: str, name: str) -> None:
         fresh = self._path(table, f"_{uuid.uuid4().hex}")
         stream = self._fs.create(fresh)
@@ -81,11 +86,11 @@ class Store:
     def replace(self, rows: DataFrame, table: str) -> None:
         """Make ``rows`` the table; they may be computed from the table itself."""
         require(rows, table)
-        name, old = f"v-{uuid.uuid4().hex}", self._current(table)
+        name, old = f"v-{uuid.uuid4().hex}", self._versions(table)
         self._write(rows, table, name, "errorifexists")
-        self._switch(table, name)
-        if old:
-            self._fs.delete(self._path(table, old), True)
+        self._switch(table, "\n".join([name, *old[:1]]))
+        for gone in old[1:]:
+            self._fs.delete(self._path(table, gone), True)
 
     def get(self, table: str, key: object) -> dict:
         """The row of a primary key."""
