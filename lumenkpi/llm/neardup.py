@@ -6,7 +6,9 @@
   hashed to buckets.  With t = 128 and 4 rows a pair of similarity 0.75 misses all 32 buckets with probability 5e-6.
 * A bucket is never expanded into all its pairs.  First every member is compared with one member drawn at random for
   that bucket.  Links found so join most members; what is left to find are links between members of different
-  components, and for these the members outside a bucket's largest component are compared with all others.
+  components, and for these the members outside a bucket's largest component are compared with all others.  A pair
+  cannot share more shingles than either text shares with any other such member; this exact bound, a count over the
+  shingles of these members, leaves out the many pairs in a large group that are close but not close enough.
 * Candidates must have sizes and sketches that allow the similarity (the sketch test gives way by 5.3 standard
   deviations, 6e-8), then the full shingle sets decide.
 
@@ -110,6 +112,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fracti
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _shared_counts(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(nid, shared): how many of a node's shingles occur in another of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, sets in K.text_shingles(batch.column(1), width):
+                owner = np.repeat(np.arange(a, a + len(sets)), [len(s) for s in sets])
+                if len(owner):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], ["nid", "x"])
+
+    items = cut(texts.join(nodes, "nid", "left_semi").select("nid", "text").mapInArrow(run, "nid long, x long"), "items")
+    often = items.groupBy("x").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low <> high").select(F.col("x").alias("_x"))
+    return items.join(cut(often, "often"), F.col("x") == F.col("_x"), "left_semi").groupBy("nid").agg(F.count("*").alias("shared"))
+
+
 def classes_of(signatures: DataFrame, key: list[str]) -> DataFrame:
     """One row per distinct non-empty set: s1, s2, its least row by ``key`` (as ``rep``), and an id ``nid``."""
     found = signatures.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("rep"))
@@ -144,11 +161,13 @@ def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], te
     parts = here.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
     here = cut(here.join(cut(mixed, "mixed"), "bucket"), "mixed")
-    outer = here.where("component <> main").select("bucket", F.col("nid").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"))
+    shared = cut(_shared_counts(here.select("nid").distinct(), texts, width), "shared")
+    here = here.join(shared.where("shared > 0"), "nid")
+    outer = here.where("component <> main").select(F.col("bucket").alias("_b"), F.col("nid").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"), F.col("shared").alias("so"))
     apart = (F.col("component") != F.col("co")) & (F.col("nid") != F.col("pivot")) & (F.col("o") != F.col("pivot"))
     once = (F.col("component") == F.col("main")) | (F.col("nid") < F.col("o"))
-    fits = F.least("n", "no") * down >= F.greatest("n", "no") * up
-    pairs = here.hint("shuffle_merge").join(outer.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & apart & once & fits)
+    fits = (F.least("n", "no") * down >= F.greatest("n", "no") * up) & (F.least("shared", "so") * (up + down) >= (F.col("n") + F.col("no")) * up)
+    pairs = here.join(outer, (F.col("bucket") == F.col("_b")) & apart & once & fits)
     pairs = pairs.select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b")).distinct()
     more = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links")
     merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
