@@ -133,16 +133,18 @@ def classes_of(signatures: DataFrame, key: list[str]) -> DataFrame:
     return cut(found.select("s1", "s2", "rep", F.monotonically_increasing_id().alias("nid")), "classes")
 
 
-def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int, width: int = WIDTH, similarity: Fraction = SIMILARITY, release: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links between classes: (links found, the component of each class that has a link).
 
-    ``text_of`` gets (nid, rep) rows and returns (nid, text).
+    ``text_of`` gets (nid, rep) rows and returns (nid, text); ``release`` deletes the table of signatures once it is read.
     """
     members = classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep", "nid")
     same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"rep.{k}"))
     reps = cut(signatures.where("n > 0").join(members, same).select("nid", "n", "bands", "sketch"), "reps")
+    if release:
+        drop(signatures)
     banded = reps.select("nid", F.explode("bands").alias("bucket"))
     drawn = F.min(F.struct(F.xxhash64("nid", "bucket").alias("x"), "nid"))["nid"]
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), drawn.alias("pivot")).where("size > 1")
@@ -171,7 +173,8 @@ def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], te
     pairs = pairs.select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b")).distinct()
     more = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links")
     merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    drop(texts)
+    for done in (texts, reps, full):
+        drop(done)
     return links.union(more), merged
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, fold, ship, table, unfold
+from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
 
 MIN_WORDS, NEAR_WORDS, RADIUS = 8, 32, 6
 T_SKETCH, ROWS = 64, 4  # 16 bands: a pair of similarity 0.75 is found with probability 0.998, one of 0.85 with 0.99999
@@ -148,14 +148,19 @@ KEY = ["doc_id", "h", "start", "stop"]
 def equal_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Paragraphs that are equal to another: KEY and the group's first one (``rep``)."""
     units = cut(exact_units(docs, min_words), "units")
-    groups = units.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("rep"), F.max(F.struct(*KEY)).alias("last")).where("rep <> last")
+    often = cut(units.groupBy("s1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("s1").alias("_1")), "often")
+    again = cut(units.join(often, F.col("s1") == F.col("_1")).drop("_1"), "again")
+    drop(units)
+    drop(often)
+    groups = again.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("rep"), F.max(F.struct(*KEY)).alias("last")).where("rep <> last")
     groups = cut(groups.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), "groups")
-    return units.join(groups, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep", F.lit("equal").alias("kind"))
+    return again.join(groups, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep", F.lit("equal").alias("kind"))
 
 
 def near_paragraphs(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """Lines that are near copies of another: KEY and the component's first one (``rep``)."""
     signatures = cut(line_signatures(docs, near_words), "lines")
+    lines = cut(signatures.select(*KEY, "s1", "s2"), "places")
     classes = neardup.classes_of(signatures, KEY)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
@@ -164,11 +169,11 @@ def near_paragraphs(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
         same = (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))
         return source.join(found, same).select("nid", F.expr("substring(text, _a + 1, _b - _a)").alias("text"))
 
-    _, merged = neardup.linked_classes(signatures, classes, KEY, text_of, T_SKETCH)
+    _, merged = neardup.linked_classes(signatures, classes, KEY, text_of, T_SKETCH, release=True)
     linked = classes.join(merged, F.col("nid") == F.col("node")).select("s1", "s2", "rep", "component")
     first = linked.groupBy("component").agg(F.min("rep").alias("rep"))
     linked = cut(linked.drop("rep").join(first, "component").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), "linked")
-    out = signatures.select(*KEY, "s1", "s2").join(linked, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
+    out = lines.join(linked, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
     return out.select(*KEY, "rep", F.lit("near").alias("kind"))
 
 
