@@ -4,11 +4,12 @@
   a class goes on, and a class of any size is a minimum and a skew join.
 * Each class has a sketch of ``t`` coordinates (see ``textkernel.FastSketch``); bands of ``rows`` coordinates are
   hashed to buckets.  With t = 128 and 4 rows a pair of similarity 0.75 misses all 32 buckets with probability 5e-6.
-* A bucket is never expanded into all its pairs.  First every member is compared with one member drawn at random for
+* A bucket is never expanded into all its pairs.  First every member is compared with two members drawn at random for
   that bucket.  Links found so join most members; what is left to find are links between members of different
   components, and for these the members outside a bucket's largest component are compared with all others.  A pair
-  cannot share more shingles than either text shares with any other such member; this exact bound, a count over the
-  shingles of these members, leaves out the many pairs in a large group that are close but not close enough.
+  of different components cannot share more shingles than either text shares with any member of another component; this
+  exact bound, a count over the shingles of these members, leaves out the many pairs in a large group that are close but
+  not close enough.
 * Candidates must have sizes and sketches that allow the similarity (the sketch test gives way by 5.3 standard
   deviations, 6e-8), then the full shingle sets decide.
 
@@ -113,17 +114,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fracti
 
 
 def _shared_counts(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(nid, shared): how many of a node's shingles occur in another of the nodes."""
+    """(nid, shared): how many of a node's shingles occur in a node of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, sets in K.text_shingles(batch.column(1), width):
+            for a, sets in K.text_shingles(batch.column(2), width):
                 owner = np.repeat(np.arange(a, a + len(sets)), [len(s) for s in sets])
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], ["nid", "x"])
+                    at = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(sets).view(np.int64))], ["nid", "component", "x"])
 
-    items = cut(texts.join(nodes, "nid", "left_semi").select("nid", "text").mapInArrow(run, "nid long, x long"), "items")
-    often = items.groupBy("x").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low <> high").select(F.col("x").alias("_x"))
+    items = cut(texts.join(nodes, "nid").select("nid", "component", "text").mapInArrow(run, "nid long, component long, x long"), "items")
+    often = items.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("x").alias("_x"))
     return items.join(cut(often, "often"), F.col("x") == F.col("_x"), "left_semi").groupBy("nid").agg(F.count("*").alias("shared"))
 
 
@@ -146,27 +148,30 @@ def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], te
     if release:
         drop(signatures)
     banded = reps.select("nid", F.explode("bands").alias("bucket"))
-    drawn = F.min(F.struct(F.xxhash64("nid", "bucket").alias("x"), "nid"))["nid"]
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), drawn.alias("pivot")).where("size > 1")
+    drawn = F.struct(F.xxhash64("nid", "bucket").alias("x"), "nid")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(drawn)["nid"].alias("pivot"), F.max(drawn)["nid"].alias("second")).where("size > 1")
     full = cut(banded.join(cut(buckets, "buckets"), "bucket").distinct(), "members")
     texts = cut(text_of(full.select("nid").distinct().join(classes, "nid").select("nid", "rep")), "texts")
 
-    pairs = full.where("nid <> pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b")).distinct()
+    tried = full.select("nid", F.explode(F.array("pivot", "second")).alias("with")).where("nid <> with")
+    pairs = tried.select(F.least("nid", "with").alias("a"), F.greatest("nid", "with").alias("b")).distinct()
     links = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links")
     joined = cut(components(links), "joined")
 
-    # links between members of a bucket that are in different components
+    # links between members of a bucket that are in different components (up to three members have all been compared)
     up, down = similarity.numerator, similarity.denominator
-    here = full.where("size > 2").join(joined.withColumnRenamed("node", "nid"), "nid", "left")
-    here = here.join(reps.select("nid", "n"), "nid").select("bucket", "pivot", "nid", "n", F.coalesce("component", "nid").alias("component"))
+    here = full.where("size > 3").join(joined.withColumnRenamed("node", "nid"), "nid", "left")
+    here = here.join(reps.select("nid", "n"), "nid").select("bucket", "pivot", "second", "nid", "n", F.coalesce("component", "nid").alias("component"))
     here = cut(here, "open")
     parts = here.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
     here = cut(here.join(cut(mixed, "mixed"), "bucket"), "mixed")
-    shared = cut(_shared_counts(here.select("nid").distinct(), texts, width), "shared")
+    shared = cut(_shared_counts(here.select("nid", "component").distinct(), texts, width), "shared")
     here = here.join(shared.where("shared > 0"), "nid")
     outer = here.where("component <> main").select(F.col("bucket").alias("_b"), F.col("nid").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"), F.col("shared").alias("so"))
-    apart = (F.col("component") != F.col("co")) & (F.col("nid") != F.col("pivot")) & (F.col("o") != F.col("pivot"))
+    apart = F.col("component") != F.col("co")
+    for drawn in ("pivot", "second"):
+        apart &= (F.col("nid") != F.col(drawn)) & (F.col("o") != F.col(drawn))
     once = (F.col("component") == F.col("main")) | (F.col("nid") < F.col("o"))
     fits = (F.least("n", "no") * down >= F.greatest("n", "no") * up) & (F.least("shared", "so") * (up + down) >= (F.col("n") + F.col("no")) * up)
     pairs = here.join(outer, (F.col("bucket") == F.col("_b")) & apart & once & fits)
