@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """The compiled machine of one model file."""
 
-    LIMIT, PAIRS, PREFIXES = 300_000, 1_000_000, 400_000  # entries of the caches, each cleared when full
+    LIMIT, PAIRS, PREFIXES = 300_000, 1_000_000, 800_000  # entries of the caches
 
     def __init__(self, model: bytes):
         pieces: list[tuple[str, float, int]] = []
@@ -97,6 +98,7 @@ class Transducer:
         self.longest = max((len(p) for p in self.ids), default=1)
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.prefixes: dict[str, tuple[int, int]] = {}
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -188,11 +190,13 @@ class Transducer:
         if len(known) > self.PREFIXES:
             known.clear()
         state, back = [-2] * (n + 1), [0] * (n + 1)
+        longest, allowed, seen = self.longest, self.allowed, True
         for end in range(1, n + 1):
             head = text[:end] if end <= 64 else None
-            got = known.get(head)
+            got = known.get(head) if seen else None
             if got is None:
-                for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                seen = False  # nor is any longer prefix known
+                for start in range(end - 1, max(-1, end - 1 - longest), -1):
                     piece = ids.get(text[start:end])
                     if piece is None:
                         if start == end - 1:
@@ -200,7 +204,13 @@ class Transducer:
                             break
                         continue
                     before = state[start]
-                    if (pairs.get(before * size + piece) if before >= 0 else alone[piece]) or self.allowed(before, piece):
+                    if before < 0:
+                        fits = alone[piece]
+                    else:
+                        fits = pairs.get(before * size + piece)
+                        if fits is None:
+                            fits = allowed(before, piece)
+                    if fits:
                         got = (piece, start)
                         break
                 if head is not None:
@@ -238,9 +248,9 @@ class Transducer:
             return b""
         if self.whole:
             return np.array(self.shortest_path(self.normalise(text)), "<i4").tobytes()
-        cache = self.cache
-        if len(cache) > self.LIMIT:
-            cache.clear()
+        if len(self.cache) > self.LIMIT:  # words that are met again come back from the older half
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         if self.dummy and self.escape and not self.squeeze and text[0] != " " and "  " not in text and MARK not in text:
             words = [MARK + w for w in text.split(" ")]
         else:
@@ -249,7 +259,10 @@ class Transducer:
         for w in words:
             got = cache.get(w)
             if got is None:
-                got = cache[w] = np.array(self.shortest_path(w), "<i4").tobytes()
+                got = older.get(w)
+                if got is None:
+                    got = array("i", self.shortest_path(w)).tobytes()
+                cache[w] = got
             out.append(got)
         return b"".join(out)
 
