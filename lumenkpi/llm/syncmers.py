@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lumenkpi.llm.shared import cut, ship, table
 
 K, S, SIZE = 5, 2, 256
+MASK = (1 << 31) - 1  # anchors are hashes of 31 bits
 
 
 def _with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) -> DataFrame:
@@ -30,10 +31,10 @@ def _with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) -
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn("_g", F.expr("zip_with(_h, slice(_h, 2, greatest(size(_h) - 1, 0)), (a, b) -> xxhash64(a, b))"))
-    kmer = "xxhash64(_g[i], _g[i + 2], _h[i + 4]) & 4294967295"
+    kmer = f"cast(xxhash64(_g[i], _g[i + 2], _h[i + 4]) & {MASK} AS int)"
     closed = "least(_g[i + 1], _g[i + 2]) >= least(_g[i], _g[i + 3])"
     one = f"named_struct('position', i, 'hash', {kmer})" if positions else kmer
-    all_words = "aggregate(_h, 0L, (s, x) -> xxhash64(s, x)) & 4294967295"
+    all_words = f"cast(aggregate(_h, 0L, (s, x) -> xxhash64(s, x)) & {MASK} AS int)"
     few = f"array(named_struct('position', 0, 'hash', {all_words}))" if positions else f"array({all_words})"
     found = f"filter(transform(sequence(0, size(_h) - {K}), i -> if({closed}, {one}, null)), x -> x IS NOT NULL)"
     if not positions:
@@ -59,11 +60,15 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {a} = {b} THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE size(array_intersect({least}, array_intersect({a}, {b}))) / cast(size({least}) AS double) END")
 
 
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the fingerprint's hashes of a text column."""
+    return _with_anchors(df, text, "_all").withColumn(out, F.slice("_all", 1, SIZE)).drop("_all")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), n_chars (code points), fp (the fingerprint's hashes)."""
+    """doc_id and fingerprint (as text) of every document."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "text")
-    return _with_anchors(rows, "text", "_all").select("doc_id", "h", "n_chars", F.slice("_all", 1, SIZE).alias("fp"))
+    return with_fingerprint(docs.select("doc_id", "text"), "text", "fp").select("doc_id", as_text("fp").alias("fingerprint"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -95,21 +100,19 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document.
     """
-    own = cut(fingerprints(docs).distinct(), "fingerprints")
-    pairs = cut(successors(own).select("doc_id", "h", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h")), "pairs")
-    # y: the document, x: the next one
-    y = own.select(F.col("doc_id").alias("y_id"), F.col("h").alias("y_h"), F.col("n_chars").alias("y_n"), F.col("fp").alias("y_fp"))
-    x = own.select(F.col("doc_id").alias("x_id"), F.col("h").alias("x_h"), F.col("fp").alias("x_fp"))
-    pairs = pairs.join(y, _same("doc_id", "y_id", "h", "y_h")).drop("doc_id", "h").join(x, _same("next_id", "x_id", "next_h", "x_h")).drop("next_id", "next_h")
-    pairs = pairs.select("y_id", "y_h", "y_n", "y_fp", "x_id", "x_h", likeness("y_fp", "x_fp").alias("near_next"))
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = texts.join(pairs, _same("doc_id", "x_id", "h", "x_h"))
-    sent = sent.select("y_id", "y_h", "y_n", "y_fp", "near_next", F.expr("substring(text, 1, cast(y_n div 2 AS int))").alias("head")).dropDuplicates(["y_id", "y_h"])
+    keys = cut(texts.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")).distinct(), "keys")
+    # y: the document, x: the next one.  Each x sends y what y needs of its text, and its fingerprint.
+    pairs = successors(keys).select("doc_id", "h", F.col("next.doc_id").alias("x_id"), F.col("next.h").alias("x_h"))
+    y = keys.select(F.col("doc_id").alias("y_id"), F.col("h").alias("y_h"), F.col("n_chars").alias("y_n"))
+    pairs = cut(pairs.join(y, _same("doc_id", "y_id", "h", "y_h")).select("y_id", "y_h", "y_n", "x_id", "x_h"), "pairs")
+    sent = with_fingerprint(texts.join(pairs, _same("doc_id", "x_id", "h", "x_h")), "text", "x_fp")
+    sent = sent.select("y_id", "y_h", "y_n", "x_fp", F.expr("substring(text, 1, cast(y_n div 2 AS int))").alias("head")).dropDuplicates(["y_id", "y_h"])
     edited = F.expr("substring(text, 1, cast(y_n - y_n div 2 AS int)) || head")
-    both = texts.join(sent, _same("doc_id", "y_id", "h", "y_h")).select("doc_id", F.col("y_n").alias("n_chars"), "y_fp", "near_next", edited.alias("edited"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    both = _with_anchors(both, "edited", "_all").withColumn("e_fp", F.slice("_all", 1, SIZE))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text("y_fp").alias("fingerprint"), as_text("e_fp").alias("edited_fingerprint"), likeness("y_fp", "e_fp").alias("near_edited"), "near_next")
+    both = texts.join(sent, _same("doc_id", "y_id", "h", "y_h")).select("doc_id", F.col("y_n").alias("n_chars"), "text", "x_fp", edited.alias("edited"))
+    both = with_fingerprint(with_fingerprint(both, "text", "y_fp"), "edited", "e_fp").withColumn("edited_sha256", F.sha2("edited", 256))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text("y_fp").alias("fingerprint"), as_text("e_fp").alias("edited_fingerprint"), likeness("y_fp", "e_fp").alias("near_edited"), likeness("y_fp", "x_fp").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,13 +135,13 @@ def plain_fingerprint(text):
         total = 0
         for x in h:
             total = pair_hash(total, x)
-        return [total & 0xFFFFFFFF]
+        return [total & M.MASK]
     g = [pair_hash(a, b) for a, b in zip(h, h[1:], strict=False)]
     out = set()
     for i in range(len(h) - M.K + 1):
         inner = g[i : i + M.K - M.S + 1]
         if min(inner) in (inner[0], inner[-1]):
-            out.add(pair_hash(g[i], g[i + 2], h[i + 4]) & 0xFFFFFFFF)
+            out.add(pair_hash(g[i], g[i + 2], h[i + 4]) & M.MASK)
     return sorted(out)[: M.SIZE]
 
 
