@@ -2,16 +2,18 @@
 
 Two kinds of paragraph are looked at:
 
-* A *line* of at least ``near_words`` words gets a similarity sketch; lines that collide in a band (their number is
-  tuned for recall) are joined, the exact Jaccard similarity of their 5-word shingles decides, and linked lines form a
-  component.
+* A *line* of at least ``near_words`` words, by default those of one shingle, gets a similarity sketch; lines that
+  collide in a band (their number is tuned for recall) are joined, the exact Jaccard similarity of their 5-word shingles
+  decides, and linked lines form a component.  Text may be wrapped, so consecutive lines of fewer than ``SHORT_LINE``
+  words with no blank line between them are one such paragraph too, besides being lines.
 * A passage may also sit in the middle of longer lines.  So the words of a text are also cut into *segments* wherever a
   word pair has the least hash within ``RADIUS`` pairs on either side: such places depend on nothing further away, so
-  the inside of a repeated passage is cut alike everywhere.  Segments and lines of at least ``min_words`` words that
-  are equal word by word form a group.
+  the inside of a repeated passage is cut alike everywhere.  Segments, lines and wrapped paragraphs of at least
+  ``min_words`` words that are equal word by word form a group.
 
 The first paragraph of a group or component (by document, then place) stays, the others are removed.  A group of any
-size is a count and a minimum, never a list.
+size is a count and a minimum, never a list.  A paragraph that overlaps the first one (a line and the wrapped paragraph
+it is in) is not a copy of it.
 
 Edge cases: null and empty texts have no paragraphs; shorter paragraphs are left alone; rows with a null ``doc_id`` are
 left out of the search and keep their text; repeated rows are one document; ties cannot arise, as a paragraph is named
@@ -25,14 +27,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
 from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
 
-MIN_WORDS, NEAR_WORDS, RADIUS = 8, 32, 6
+MIN_WORDS, NEAR_WORDS, RADIUS = 8, neardup.WIDTH, 6
+SHORT_LINE = 32  # words; shorter lines may be pieces of a wrapped paragraph
 T_SKETCH, ROWS = 64, 4  # 16 bands: a pair of similarity 0.75 is found with probability 0.998, one of 0.85 with 0.99999
 NEWLINE = 10
 
@@ -80,6 +83,14 @@ class _Block:
         line[after[after < len(ws)]] = True
         self.lines = np.flatnonzero(line)
         self.line_ends = np.append(self.lines[1:], len(ws)) if len(self.lines) else self.lines
+        newlines = np.searchsorted(breaks, ws[self.lines[1:]]) - np.searchsorted(breaks, we[self.line_ends[:-1] - 1])
+        row, short = self.row_of_word[self.lines], self.line_ends - self.lines < SHORT_LINE
+        self.wrapped = (newlines == 1) & (row[1:] == row[:-1]) & short[1:] & short[:-1]  # a line and the one after it
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of each run of two or more short lines without a blank line between them."""
+        bound = np.diff(np.concatenate([[0], self.wrapped.astype(np.int8), [0]]))
+        return self.lines[np.flatnonzero(bound > 0)], self.line_ends[np.flatnonzero(bound < 0)]
 
     def segments(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and end of each segment."""
@@ -115,10 +126,10 @@ def _key(batch: pa.RecordBatch, a: int, row: np.ndarray) -> list[pa.Array]:
 
 
 def exact_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Segments and lines of at least ``min_words`` words with two hashes of their words."""
+    """Segments, lines and wrapped paragraphs of at least ``min_words`` words with two hashes of their words."""
 
     def run(block: _Block, batch: pa.RecordBatch, a: int) -> Iterator[pa.RecordBatch]:
-        for s, e in ((block.lines, block.line_ends), block.segments()):
+        for s, e in ((block.lines, block.line_ends), block.paragraphs(), block.segments()):
             keep = e - s >= min_words
             s, e = s[keep], e[keep]
             if len(s):
@@ -129,15 +140,18 @@ def exact_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def line_signatures(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Lines of at least ``near_words`` words with their signatures."""
+    """Lines and wrapped paragraphs of at least ``near_words`` words with their signatures."""
 
     def run(block: _Block, batch: pa.RecordBatch, a: int) -> Iterator[pa.RecordBatch]:
         sketcher = K.FastSketch(T_SKETCH)
-        keep = block.line_ends - block.lines >= near_words
-        s, e = block.lines[keep], block.line_ends[keep]
-        if len(s):
-            sets = [K.shingle_sets(block.hashes[x:y], np.array([0, y - x]))[0] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*_key(batch, a, block.row_of_word[s]), pa.array(block.begin[s].astype(np.int32)), pa.array(block.end[e - 1].astype(np.int32)), *neardup.signature_columns(sets, sketcher, ROWS)], ["doc_id", "h", "start", "stop", "n", "s1", "s2", "bands", "sketch"])
+        lines = K.shingle_sets(block.hashes, np.append(block.lines, len(block.hashes)))
+        s, e = block.paragraphs()
+        joined = [K.shingle_sets(block.hashes[x:y], np.array([0, y - x]))[0] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+        for s, e, sets in ((block.lines, block.line_ends, lines), (s, e, joined)):
+            keep = e - s >= near_words
+            s, e, sets = s[keep], e[keep], [x for x, ok in zip(sets, keep.tolist(), strict=True) if ok]
+            if len(s):
+                yield pa.RecordBatch.from_arrays([*_key(batch, a, block.row_of_word[s]), pa.array(block.begin[s].astype(np.int32)), pa.array(block.end[e - 1].astype(np.int32)), *neardup.signature_columns(sets, sketcher, ROWS)], ["doc_id", "h", "start", "stop", "n", "s1", "s2", "bands", "sketch"])
 
     return _scan(docs, run, f"doc_id long, h long, start int, stop int, {neardup.SIGNATURE}")
 
@@ -145,6 +159,11 @@ def line_signatures(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 KEY = ["doc_id", "h", "start", "stop"]
 
 
+def _overlaps(a: str) -> Column:
+    """Whether the paragraph in the columns KEY of struct ``a`` (or of the row) overlaps ``rep``, the first of its group."""
+    return (F.col(f"{a}doc_id") == F.col("rep.doc_id")) & (F.col(f"{a}h") == F.col("rep.h")) & (F.col(f"{a}start") < F.col("rep.stop"))
+
+
 def equal_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Paragraphs that are equal to another: KEY and the group's first one (``rep``)."""
     units = cut(exact_units(docs, min_words), "units")
@@ -152,13 +171,13 @@ def equal_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = cut(units.join(often, F.col("s1") == F.col("_1")).drop("_1"), "again")
     drop(units)
     drop(often)
-    groups = again.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("rep"), F.max(F.struct(*KEY)).alias("last")).where("rep <> last")
+    groups = again.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("rep"), F.max(F.struct(*KEY)).alias("last")).where(~_overlaps("last."))
     groups = cut(groups.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), "groups")
     return again.join(groups, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep", F.lit("equal").alias("kind"))
 
 
 def near_paragraphs(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Lines that are near copies of another: KEY and the component's first one (``rep``)."""
+    """Lines and wrapped paragraphs that are near copies of another: KEY and the component's first one (``rep``)."""
     signatures = cut(line_signatures(docs, near_words), "lines")
     lines = cut(signatures.select(*KEY, "s1", "s2"), "places")
     classes = neardup.classes_of(signatures, KEY)
@@ -173,13 +192,15 @@ def near_paragraphs(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     linked = classes.join(merged, F.col("nid") == F.col("node")).select("s1", "s2", "rep", "component")
     first = linked.groupBy("component").agg(F.min("rep").alias("rep"))
     linked = cut(linked.drop("rep").join(first, "component").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), "linked")
-    out = lines.join(linked, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
-    return out.select(*KEY, "rep", F.lit("near").alias("kind"))
+    out = cut(lines.join(linked, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep"), "near")
+    copied = out.groupBy("rep").agg(F.max(F.struct(*KEY)).alias("last")).where(~_overlaps("last."))  # not only by a line and its own paragraph
+    return out.join(copied.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").select(*KEY, "rep", F.lit("near").alias("kind"))
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """Every paragraph with an equal or near copy: KEY, kind, the place of the one that stays, and ``removed``."""
     found = equal_paragraphs(docs, min_words).union(near_paragraphs(docs, near_words))
+    found = found.where(~_overlaps("") | (F.struct(*KEY) == F.col("rep")))
     return found.select(*KEY, "kind", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.start").alias("rep_start"), (F.struct(*KEY) != F.col("rep")).alias("removed")).distinct()
 
 

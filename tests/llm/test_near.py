@@ -110,3 +110,26 @@ def test_paragraphs_of_nothing_and_without_ids(docs_of):
     line = passage(rnd, 40)
     assert P.repeated_paragraphs(docs_of([line, line], [None, 1])).count() == 0
     assert P.repeated_paragraphs(docs_of([line, line], [1, 1])).where("removed").count() == 0
+
+
+def test_near_copies_of_short_and_wrapped_lines_are_found(docs_of):
+    rnd = random.Random(7)
+    eleven, seven, long = passage(rnd, 11).split(), passage(rnd, 7).split(), passage(rnd, 60).split()
+    wrapped = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    edited = [*long[:30], "changed", *long[31:]]
+    texts = [
+        " ".join(eleven),
+        passage(rnd, 9) + "\n" + " ".join(["other", *eleven[1:]]),
+        " ".join(seven),
+        passage(rnd, 12) + "\n\n" + " ".join([*seven, "more"]),
+        wrapped(long, 10),
+        passage(rnd, 40) + "\n\n" + wrapped(edited, 7) + "\n\n" + passage(rnd, 40),
+        wrapped([*(line := passage(rnd, 24).split()), "x1", "x2", "x3", "x4"], 24),  # a line is most of its own paragraph
+    ]
+    docs = docs_of(texts)
+    found = P.repeated_paragraphs(docs)
+    removed = {(r.doc_id, texts[r.doc_id][r.start : r.stop]) for r in found.where("removed AND kind = 'near'").collect()}
+    assert {(1, " ".join(["other", *eleven[1:]])), (3, " ".join([*seven, "more"])), (5, wrapped(edited, 7))} <= removed
+    assert {d for d, _ in removed} == {1, 3, 5} and found.where("doc_id = 6").count() == 0
+    kept = {r.doc_id: r.text for r in P.strip_paragraphs(docs, found).collect()}
+    assert kept[4] == texts[4] and kept[6] == texts[6] and "changed" not in kept[5] and line[0] in kept[6]
