@@ -6,10 +6,12 @@ Two kinds of paragraph are looked at:
   collide in a band (their number is tuned for recall) are joined, the exact Jaccard similarity of their 5-word shingles
   decides, and linked lines form a component.  Text may be wrapped, so consecutive lines of fewer than ``SHORT_LINE``
   words with no blank line between them are one such paragraph too, besides being lines.
-* A passage may also sit in the middle of longer lines.  So the words of a text are also cut into *segments* wherever a
-  word pair has the least hash within ``RADIUS`` pairs on either side: such places depend on nothing further away, so
-  the inside of a repeated passage is cut alike everywhere.  Segments, lines and wrapped paragraphs of at least
-  ``min_words`` words that are equal word by word form a group.
+* A passage may also sit in the middle of longer lines.  So the words of a text are also cut wherever a word pair has
+  the least hash of some ``WINDOW`` pairs in a row: such places depend on nothing further away, so the inside of a
+  repeated passage is cut alike everywhere, and no two cuts are further apart than ``WINDOW`` words.  A *segment* goes
+  from a cut to the first one at least ``min_words`` words on; segments overlap and together cover a passage from its
+  first inner cut to its last.  Every passage of 50 words holds one of ``MIN_WORDS``, wherever it stands.  Segments, lines and
+  wrapped paragraphs of at least ``min_words`` words that are equal word by word form a group.
 
 The first paragraph of a group or component (by document, then place) stays, the others are removed.  A group of any
 size is a count and a minimum, never a list.  A paragraph that overlaps the first one (a line and the wrapped paragraph
@@ -34,7 +36,8 @@ from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
 from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
 
-MIN_WORDS, NEAR_WORDS, RADIUS = 8, neardup.WIDTH, 6
+MIN_WORDS, NEAR_WORDS = 8, neardup.WIDTH
+WINDOW = 11  # word pairs; 4 * (WINDOW - 1) + MIN_WORDS + 2 = 50 words always hold a segment that is cut alike
 SHORT_LINE = 32  # words; shorter lines may be pieces of a wrapped paragraph
 T_SKETCH, ROWS = 64, 4  # 16 bands: a pair of similarity 0.75 is found with probability 0.998, one of 0.85 with 0.99999
 NEWLINE = 10
@@ -53,13 +56,17 @@ def _sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return K.mix(one).view(np.int64), K.mix(two).view(np.int64)
 
 
-def _least_places(pair: np.ndarray, radius: int) -> np.ndarray:
-    """Whether each entry is the least within ``radius`` entries on either side (the first of equal ones)."""
-    n, out = len(pair), np.ones(len(pair), bool)
-    for d in range(1, min(radius, n - 1) + 1):
-        out[d:] &= pair[d:] < pair[:-d]
-        out[:-d] &= pair[:-d] <= pair[d:]
-    return out
+def _least_places(pair: np.ndarray, window: int) -> np.ndarray:
+    """Whether each entry is the least (the first of equal ones) of some ``window`` entries in a row."""
+    n = len(pair)
+    reach = np.ones(n, np.int64)  # entries in a row around each of which it is the least
+    before = after = np.ones(n, bool)
+    for d in range(1, min(window, n)):
+        before = np.append(np.zeros(d, bool), before[d:] & (pair[d:] < pair[:-d]))
+        after = np.append(after[:-d] & (pair[:-d] <= pair[d:]), np.zeros(d, bool))
+        reach += before
+        reach += after
+    return reach >= min(window, n)
 
 
 class _Block:
@@ -92,19 +99,21 @@ class _Block:
         bound = np.diff(np.concatenate([[0], self.wrapped.astype(np.int8), [0]]))
         return self.lines[np.flatnonzero(bound > 0)], self.line_ends[np.flatnonzero(bound < 0)]
 
-    def segments(self) -> tuple[np.ndarray, np.ndarray]:
-        """First word and end of each segment."""
+    def segments(self, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of each segment: from a cut to the first one ``min_words`` words on, in the same text."""
         n = len(self.hashes)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edge = np.zeros(n, bool)
-        edge[self.first[:-1][np.diff(self.first) > 0]] = True
-        inner = np.zeros(n, bool)
+        edge = np.zeros(n + 1, bool)
+        edge[self.first] = True
+        inner = np.zeros(n + 1, bool)
         if n > 1:
             pair = K.mix(self.hashes[:-1] * np.uint64(5) + self.hashes[1:])
-            inner[:-1] = _least_places(pair, RADIUS)
-        starts = np.flatnonzero(edge | inner)
-        return starts, np.append(starts[1:], n)
+            inner[: n - 1] = _least_places(pair, WINDOW)
+        cuts = np.flatnonzero(edge | inner)
+        starts = cuts[:-1]
+        ends = cuts[np.minimum(np.searchsorted(cuts, starts + min_words), len(cuts) - 1)]
+        return starts, np.minimum(ends, self.first[1:][self.row_of_word[starts]])
 
 
 def _scan(docs: DataFrame, run: Callable[[_Block, pa.RecordBatch, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -129,7 +138,7 @@ def exact_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Segments, lines and wrapped paragraphs of at least ``min_words`` words with two hashes of their words."""
 
     def run(block: _Block, batch: pa.RecordBatch, a: int) -> Iterator[pa.RecordBatch]:
-        for s, e in ((block.lines, block.line_ends), block.paragraphs(), block.segments()):
+        for s, e in ((block.lines, block.line_ends), block.paragraphs(), block.segments(min_words)):
             keep = e - s >= min_words
             s, e = s[keep], e[keep]
             if len(s):

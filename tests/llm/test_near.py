@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lumenkpi.llm import neardup as N
@@ -133,3 +134,23 @@ def test_near_copies_of_short_and_wrapped_lines_are_found(docs_of):
     assert {d for d, _ in removed} == {1, 3, 5} and found.where("doc_id = 6").count() == 0
     kept = {r.doc_id: r.text for r in P.strip_paragraphs(docs, found).collect()}
     assert kept[4] == texts[4] and kept[6] == texts[6] and "changed" not in kept[5] and line[0] in kept[6]
+
+
+def block_of(*texts):
+    data = [t.encode() for t in texts]
+    return P._Block(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def test_every_passage_of_fifty_words_holds_a_segment():
+    rnd = random.Random(11)
+    covered = []
+    for _ in range(300):
+        shared, sides = passage(rnd, 50), []
+        for _ in range(2):
+            before = rnd.randint(13, 60)
+            s, e = block_of(f"{passage(rnd, before)} {shared} {passage(rnd, 40)}").segments()
+            sides.append({(a - before, b - before) for a, b in zip(s.tolist(), e.tolist(), strict=True) if a >= before and b <= before + 50 and b - a >= P.MIN_WORDS})
+        found = sides[0] & sides[1]
+        assert found
+        covered.append(len({i for a, b in found for i in range(a, b)}))
+    assert sum(covered) > 0.7 * 50 * 300
