@@ -56,17 +56,18 @@ def _sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return K.mix(one).view(np.int64), K.mix(two).view(np.int64)
 
 
-def _least_places(pair: np.ndarray, window: int) -> np.ndarray:
-    """Whether each entry is the least (the first of equal ones) of some ``window`` entries in a row."""
+def _least_places(pair: np.ndarray, window: int, row: np.ndarray) -> np.ndarray:
+    """Whether each entry is the least (the first of equal ones) of some ``window`` entries in a row of one ``row``, or of all if that has fewer."""
     n = len(pair)
     reach = np.ones(n, np.int64)  # entries in a row around each of which it is the least
     before = after = np.ones(n, bool)
     for d in range(1, min(window, n)):
-        before = np.append(np.zeros(d, bool), before[d:] & (pair[d:] < pair[:-d]))
-        after = np.append(after[:-d] & (pair[:-d] <= pair[d:]), np.zeros(d, bool))
+        same = row[d:] == row[:-d]
+        before = np.append(np.zeros(d, bool), before[d:] & same & (pair[d:] < pair[:-d]))
+        after = np.append(after[:-d] & same & (pair[:-d] <= pair[d:]), np.zeros(d, bool))
         reach += before
         reach += after
-    return reach >= min(window, n)
+    return reach >= np.minimum(window, np.bincount(row)[row])
 
 
 class _Block:
@@ -107,9 +108,10 @@ class _Block:
         edge = np.zeros(n + 1, bool)
         edge[self.first] = True
         inner = np.zeros(n + 1, bool)
-        if n > 1:
-            pair = K.mix(self.hashes[:-1] * np.uint64(5) + self.hashes[1:])
-            inner[: n - 1] = _least_places(pair, WINDOW)
+        at = np.flatnonzero(self.row_of_word[1:] == self.row_of_word[:-1])  # pairs of one text
+        if len(at):
+            pair = K.mix(self.hashes[at] * np.uint64(5) + self.hashes[at + 1])
+            inner[at] = _least_places(pair, WINDOW, self.row_of_word[at])
         cuts = np.flatnonzero(edge | inner)
         starts = cuts[:-1]
         ends = cuts[np.minimum(np.searchsorted(cuts, starts + min_words), len(cuts) - 1)]

@@ -154,3 +154,16 @@ def test_every_passage_of_fifty_words_holds_a_segment():
         assert found
         covered.append(len({i for a, b in found for i in range(a, b)}))
     assert sum(covered) > 0.7 * 50 * 300
+
+
+def test_segments_do_not_depend_on_the_texts_beside():
+    rnd = random.Random(13)
+    for _ in range(40):
+        texts = [passage(rnd, rnd.choice([0, 1, 2, 9, 30])) for _ in range(3)]
+        s, e = block_of(*texts).segments()
+        alone, base = [], 0
+        for text in texts:
+            a, b = block_of(text).segments()
+            alone += zip((a + base).tolist(), (b + base).tolist(), strict=True)
+            base += len(text.split())
+        assert list(zip(s.tolist(), e.tolist(), strict=True)) == alone
