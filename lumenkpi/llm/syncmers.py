@@ -3,11 +3,11 @@
 A text's lower-cased words are hashed; a run of ``K`` words is an anchor if the least hash among its runs of ``S`` words
 is that of its first or its last one.  Whether it is depends on its own words alone, so the same passage has the same
 anchors in every text, and any ``K - S`` runs in a row hold at least one.  A document's fingerprint is its ``SIZE``
-least anchor hashes (all, if it has fewer); the likeness of two fingerprints is the Jaccard similarity of the anchor
-sets, exact up to ``SIZE`` anchors and estimated from the least of both beyond.
+least anchor hashes (all, if it has fewer), a sketch of a bounded size; the likeness of two texts is the Jaccard
+similarity of all their anchors, whatever their length.
 
 Edge cases: null and empty texts have an empty fingerprint; a text of fewer than ``K`` words has the hash of all its
-words as its only anchor; equal fingerprints have likeness 1, an empty and a non-empty one 0; documents with a null
+words as its only anchor; equal sets of anchors have likeness 1, an empty and a non-empty one 0; documents with a null
 ``doc_id`` come last in the order of documents, equal ids follow the hash of their texts, and rows equal in both are one
 document (with as many rows in the result); a single document is its own next one; an empty table gives an empty
 result; other columns are ignored, whatever their names; long texts are read whole.
@@ -49,26 +49,26 @@ def anchors(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.explode("_anchors").alias("_a")).select("doc_id", "_a.position", "_a.hash")
 
 
-def as_text(fingerprint: str) -> Column:
+def as_text(fingerprint: Column) -> Column:
     """Eight hexadecimal digits for each hash."""
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The Jaccard similarity of two fingerprints."""
-    least = f"slice(sort_array(array_union({a}, {b})), 1, {SIZE})"
-    return F.expr(f"CASE WHEN {a} = {b} THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE size(array_intersect({least}, array_intersect({a}, {b}))) / cast(size({least}) AS double) END")
+    """The Jaccard similarity of two sets of anchors."""
+    both = f"size(array_intersect({a}, {b}))"
+    return F.expr(f"CASE WHEN {a} = {b} THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {both} / cast(size({a}) + size({b}) - {both} AS double) END")
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint's hashes of a text column."""
-    return _with_anchors(df, text, "_all").withColumn(out, F.slice("_all", 1, SIZE)).drop("_all")
+def sketch(all_anchors: str) -> Column:
+    """The fingerprint's hashes."""
+    return F.slice(all_anchors, 1, SIZE)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (as text) of every document."""
     ship(docs.sparkSession)
-    return with_fingerprint(docs.select("doc_id", "text"), "text", "fp").select("doc_id", as_text("fp").alias("fingerprint"))
+    return _with_anchors(docs.select("doc_id", "text"), "text", "_all").select("doc_id", as_text(sketch("_all")).alias("fingerprint"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -91,32 +91,35 @@ def successors(keys: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", F.coalesce("_next", "_head").alias("next"))
 
 
-def _same(a: str, b: str, c: str, d: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+def _key(doc_id: str, h: str, to: str) -> list[Column]:
+    """A document's key without nulls, so that a table dealt out by it needs no other exchange for a join."""
+    return [F.coalesce(doc_id, F.lit(0)).alias(f"{to}id"), F.col(doc_id).isNull().alias(f"{to}none"), F.col(h).alias(f"{to}h")]
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint against that of its edited text and of the next document.
+    """Each document's fingerprint, and its anchors against those of its edited text and of the next document.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = cut(texts.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")).distinct(), "keys")
-    # y: the document, x: the next one.  Each x sends y what y needs of its text, and its fingerprint.
-    pairs = successors(keys).select("doc_id", "h", F.col("next.doc_id").alias("x_id"), F.col("next.h").alias("x_h"))
-    y = keys.select(F.col("doc_id").alias("y_id"), F.col("h").alias("y_h"), F.col("n_chars").alias("y_n"))
-    pairs = cut(pairs.join(y, _same("doc_id", "y_id", "h", "y_h")).select("y_id", "y_h", "y_n", "x_id", "x_h"), "pairs")
-    sent = with_fingerprint(texts.join(pairs, _same("doc_id", "x_id", "h", "x_h")), "text", "x_fp")
-    sent = sent.select("y_id", "y_h", "y_n", "x_fp", F.expr("substring(text, 1, cast(y_n div 2 AS int))").alias("head")).dropDuplicates(["y_id", "y_h"])
-    edited = F.expr("substring(text, 1, cast(y_n - y_n div 2 AS int)) || head")
-    both = texts.join(sent, _same("doc_id", "y_id", "h", "y_h")).select("doc_id", F.col("y_n").alias("n_chars"), "text", "x_fp", edited.alias("edited"))
-    both = with_fingerprint(with_fingerprint(both, "text", "y_fp"), "edited", "e_fp").withColumn("edited_sha256", F.sha2("edited", 256))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text("y_fp").alias("fingerprint"), as_text("e_fp").alias("edited_fingerprint"), likeness("y_fp", "e_fp").alias("near_edited"), likeness("y_fp", "x_fp").alias("near_next"))
+    keys = cut(texts.select("doc_id", "h").distinct(), "keys")
+    # y: the document, x: the next one.  Each x sends y its text.
+    pairs = cut(successors(keys).select(*_key("doc_id", "h", "y_"), *_key("next.doc_id", "next.h", "x_")), "pairs")
+    texts, names = texts.select(*_key("doc_id", "h", ""), "text"), ("id", "none", "h")
+    sent = texts.join(pairs, [F.col(c) == F.col(f"x_{c}") for c in names]).select("y_id", "y_none", "y_h", F.col("text").alias("x_text")).dropDuplicates([f"y_{c}" for c in names])
+    n = F.length("text")
+    edited = F.expr("substring(text, 1, cast(length(text) - length(text) div 2 AS int)) || substring(x_text, 1, cast(length(text) div 2 AS int))")
+    doc_id = F.when(~F.col("none"), F.col("id"))
+    both = texts.join(sent, [F.col(c) == F.col(f"y_{c}") for c in names]).select(doc_id.alias("doc_id"), n.cast("long").alias("n_chars"), "text", "x_text", edited.alias("edited"))
+    for text, out in (("text", "y_all"), ("edited", "e_all"), ("x_text", "x_all")):
+        both = _with_anchors(both, text, out)
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(sketch("y_all")).alias("fingerprint"), as_text(sketch("e_all")).alias("edited_fingerprint"), likeness("y_all", "e_all").alias("near_edited"), likeness("y_all", "x_all").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, compared with its edited text's and the next document's."""
+    """Every document's fingerprint, and its likeness to its edited text and to the next document."""
     return compare_edited(table(spark, sf_dir, "documents"))
 
 

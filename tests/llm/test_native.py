@@ -189,3 +189,17 @@ def test_one_document_repeated_rows_and_none(docs_of):
     assert one.near_next == 1.0
     rows = M.compare_edited(docs_of(["same words here and there"] * 2 + ["other", None], [1, 1, None, 2])).collect()
     assert len(rows) == 4 and len({r.fingerprint for r in rows if r.doc_id == 1}) == 1
+
+
+def test_likeness_of_long_texts_is_exact(docs_of, monkeypatch):
+    rnd = random.Random(9)
+    words = [[f"w{rnd.random()}" for _ in range(3000)] for _ in range(2)]
+    texts = [" ".join(words[0]), " ".join(words[1][:1700] + words[0][:1300])]
+    rows = {r.doc_id: r for r in M.compare_edited(docs_of(texts)).collect()}
+    assert {len(r.fingerprint) for r in rows.values()} == {8 * M.SIZE}
+    monkeypatch.setattr(M, "SIZE", 10**9)  # of the plain loops below
+    a, b = (set(plain_fingerprint(t)) for t in texts)
+    assert len(a & b) > 500 and {r.near_next for r in rows.values()} == {len(a & b) / len(a | b)}
+    n = len(texts[0]) // 2
+    new = set(plain_fingerprint(texts[0][: len(texts[0]) - n] + texts[1][:n]))
+    assert rows[0].near_edited == len(a & new) / len(a | new)
