@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers, with DataFrame operations only.
 
-A text's lower-cased words are hashed; a run of ``K`` words is an anchor if the least hash among its runs of ``S`` words
+A text's lower-cased words are hashed, and of words of more than ``LONG`` code points (text without white space) every
+code point as a word of its own; a run of ``K`` words is an anchor if the least hash among its runs of ``S`` words
 is that of its first or its last one.  Whether it is depends on its own words alone, so the same passage has the same
 anchors in every text, and any ``K - S`` runs in a row hold at least one.  A document's fingerprint is its ``SIZE``
-least anchor hashes (all, if it has fewer), a sketch of a bounded size; the likeness of two texts is the Jaccard
-similarity of all their anchors, whatever their length.
+least anchor hashes of 31 bits (all, if it has fewer), a sketch of a bounded size; the likeness of two texts is the Jaccard
+similarity of all their anchors of 64 bits, whatever their length.
 
 Edge cases: null and empty texts have an empty fingerprint; a text of fewer than ``K`` words has the hash of all its
 words as its only anchor; equal sets of anchors have likeness 1, an empty and a non-empty one 0; documents with a null
@@ -23,23 +24,25 @@ from pyspark.sql import functions as F
 from lumenkpi.llm.shared import cut, ship, table
 
 K, S, SIZE = 5, 2, 256
-MASK = (1 << 31) - 1  # anchors are hashes of 31 bits
+MASK = (1 << 31) - 1  # fingerprints hold 31 bits of an anchor's 64
+LONG = 64  # code points of a word that is split into code points
 
 
 def _with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) -> DataFrame:
-    """``df`` with the anchors of a text column: sorted distinct hashes, or structs of position and hash in order."""
+    """``df`` with the anchors of a text column: distinct 64-bit hashes, or structs of position and hash in order."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
+    pieces = F.expr(f"CASE WHEN exists(_w, w -> length(w) > {LONG}) THEN flatten(transform(_w, w -> if(length(w) > {LONG}, split(w, ''), array(w)))) ELSE _w END")
+    df = df.withColumn("_w", words).withColumn("_h", F.transform(pieces, lambda w: F.xxhash64(w)))
     df = df.withColumn("_g", F.expr("zip_with(_h, slice(_h, 2, greatest(size(_h) - 1, 0)), (a, b) -> xxhash64(a, b))"))
-    kmer = f"cast(xxhash64(_g[i], _g[i + 2], _h[i + 4]) & {MASK} AS int)"
+    kmer = "xxhash64(_g[i], _g[i + 2], _h[i + 4])"
     closed = "least(_g[i + 1], _g[i + 2]) >= least(_g[i], _g[i + 3])"
     one = f"named_struct('position', i, 'hash', {kmer})" if positions else kmer
-    all_words = f"cast(aggregate(_h, 0L, (s, x) -> xxhash64(s, x)) & {MASK} AS int)"
+    all_words = "aggregate(_h, 0L, (s, x) -> xxhash64(s, x))"
     few = f"array(named_struct('position', 0, 'hash', {all_words}))" if positions else f"array({all_words})"
     found = f"filter(transform(sequence(0, size(_h) - {K}), i -> if({closed}, {one}, null)), x -> x IS NOT NULL)"
     if not positions:
-        found = f"sort_array(array_distinct({found}))"
-    return df.withColumn(out, F.expr(f"CASE WHEN size(_h) >= {K} THEN {found} WHEN size(_h) > 0 THEN {few} ELSE slice({few}, 1, 0) END")).drop("_h", "_g")
+        found = f"array_distinct({found})"
+    return df.withColumn(out, F.expr(f"CASE WHEN size(_h) >= {K} THEN {found} WHEN size(_h) > 0 THEN {few} ELSE slice({few}, 1, 0) END")).drop("_w", "_h", "_g")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -57,12 +60,12 @@ def as_text(fingerprint: Column) -> Column:
 def likeness(a: str, b: str) -> Column:
     """The Jaccard similarity of two sets of anchors."""
     both = f"size(array_intersect({a}, {b}))"
-    return F.expr(f"CASE WHEN {a} = {b} THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {both} / cast(size({a}) + size({b}) - {both} AS double) END")
+    return F.expr(f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {both} / cast(size({a}) + size({b}) - {both} AS double) END")
 
 
 def sketch(all_anchors: str) -> Column:
     """The fingerprint's hashes."""
-    return F.slice(all_anchors, 1, SIZE)
+    return F.slice(F.array_sort(F.array_distinct(F.expr(f"transform({all_anchors}, x -> cast(x & {MASK} AS int))"))), 1, SIZE)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -203,3 +203,17 @@ def test_likeness_of_long_texts_is_exact(docs_of, monkeypatch):
     n = len(texts[0]) // 2
     new = set(plain_fingerprint(texts[0][: len(texts[0]) - n] + texts[1][:n]))
     assert rows[0].near_edited == len(a & new) / len(a | new)
+
+
+def test_anchors_have_64_bits_and_texts_without_white_space_have_some(docs_of):
+    rnd = random.Random(4)
+    solid = ["".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(400)) for _ in range(2)]
+    solid.append(solid[1][:7] + solid[0][200:] + "𠀀" * 3)
+    docs = docs_of(solid)
+    hashes = {}
+    for r in M.anchors(docs).collect():
+        hashes.setdefault(r.doc_id, {})[r.hash] = r.position
+    assert max(abs(x) for x in hashes[0]) > 1 << 40
+    shared = [hashes[0][x] - hashes[2][x] for x in hashes[0].keys() & hashes[2].keys()]
+    assert len(shared) > 50 and set(shared) == {193}
+    assert all(0.1 < r.near_edited < 1 for r in M.compare_edited(docs).collect())
