@@ -6,10 +6,8 @@
   hashed to buckets.  With t = 128 and 4 rows a pair of similarity 0.75 misses all 32 buckets with probability 5e-6.
 * A bucket is never expanded into all its pairs.  First every member is compared with two members drawn at random for
   that bucket.  Links found so join most members; what is left to find are links between members of different
-  components, and for these the members outside a bucket's largest component are compared with all others.  A pair
-  of different components cannot share more shingles than either text shares with any member of another component; this
-  exact bound, a count over the shingles of these members, leaves out the many pairs in a large group that are close but
-  not close enough.
+  components.  Each of these members is described by the shingles in which it differs from one pivot of the bucket's
+  largest component, and only pairs that share a rare enough difference can be linked: see :func:`_open_pairs`.
 * Candidates must have sizes and sketches that allow the similarity (the sketch test gives way by 5.3 standard
   deviations, 6e-8), then the full shingle sets decide.
 
@@ -27,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import textkernel as K
@@ -36,6 +34,7 @@ from lumenkpi.llm.shared import cut, drop, ship, table
 
 WIDTH = 5
 SIMILARITY = Fraction(3, 4)
+TEXT = 16  # a text counts as so many rows where tables of known size are written
 SIGNATURE = "n long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -74,10 +73,15 @@ def document_signatures(docs: DataFrame, t: int, rows: int, width: int = WIDTH)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id long, h long, {SIGNATURE}")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, t: int, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity."""
-    least = float(similarity) - 5.3 * math.sqrt(float(similarity * (1 - similarity)) / t)
+def _likely(pairs: DataFrame, reps: DataFrame, t: int | None, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches (of ``t`` coordinates, if there are any) allow the similarity."""
     up, down = similarity.numerator, similarity.denominator
+    one, two = (reps.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), *[F.col("sketch").alias(f"s{c}")] * (t is not None)) for c in "ab")
+    fits = F.least("na", "nb") * down >= F.greatest("na", "nb") * up
+    pairs = pairs.join(one, "a").join(two, "b").where(fits)
+    if t is None:
+        return pairs.select("a", "b")
+    least = float(similarity) - 5.3 * math.sqrt(float(similarity * (1 - similarity)) / t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,10 +90,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, t: int, similarity: Fraction) ->
                 share = ((one == two).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
                 yield batch.select([0, 1]).filter(pa.array(share >= least))
 
-    one = reps.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = reps.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    fits = (F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
-    return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
@@ -113,70 +114,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fracti
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _shared_counts(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(nid, shared): how many of a node's shingles occur in a node of another component."""
+def _differences(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(main, nid, component, n, x): the shingles in which each member's set differs from that of its group's pivot.
+
+    ``members``: main, nid, component, pivot.  A member equal to the pivot in all shingles has one row with a null ``x``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, sets in K.text_shingles(batch.column(2), width):
-                owner = np.repeat(np.arange(a, a + len(sets)), [len(s) for s in sets])
-                if len(owner):
-                    at = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(sets).view(np.int64))], ["nid", "component", "x"])
-
-    items = cut(texts.join(nodes, "nid").select("nid", "component", "text").mapInArrow(run, "nid long, component long, x long"), "items")
-    often = items.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("x").alias("_x"))
-    return items.join(cut(often, "often"), F.col("x") == F.col("_x"), "left_semi").groupBy("nid").agg(F.count("*").alias("shared"))
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                one = [s for _, sets in K.text_shingles(part.column(3), width) for s in sets]
+                pivots = part.column(4).dictionary_encode()
+                known = [s for _, sets in K.text_shingles(pivots.dictionary, width) for s in sets]
+                found = [np.setxor1d(x, known[i], assume_unique=True).view(np.int64) for x, i in zip(one, pivots.indices.to_pylist(), strict=True)]
+                sizes = [max(1, len(f)) for f in found]
+                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                tokens = pa.concat_arrays([pa.array(f, pa.int64()) if len(f) else pa.nulls(1, pa.int64()) for f in found])
+                n = pa.array([len(x) for x in one], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(3)), n.take(at), tokens], ["main", "nid", "component", "n", "x"])
+
+    one = texts.select("nid", "text")
+    two = texts.select(F.col("nid").alias("pivot"), F.col("text").alias("pivot_text"))
+    rows = members.join(one, "nid").join(two, "pivot").select("main", "nid", "component", "text", "pivot_text")
+    return rows.mapInArrow(run, "main long, nid long, component long, n long, x long")
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """(a, b): the pairs of one group and different components that can reach the similarity, at least one of them
+    outside the group's main component.
+
+    With P the pivot's set, the sets X and Y differ in |dX| + |dY| - 2 |dX & dY| shingles, where dX and dY are the
+    shingles in which X and Y differ from P.  The similarity u / v allows (v - u) (|X| + |Y|) / (u + v) differences, so
+    with W = (u + v) |dX| - (v - u) |X| a pair is linked if and only if W(X) + W(Y) <= 2 (u + v) |dX & dY|.  Either the left side is not
+    positive, and then both are linked to the member of least W, or the two share a difference; and with differences in
+    one order for all, the rarest first, they share one early enough in both that what follows can still make up the
+    number that is needed (a prefix filter on differences).  Differences are rare where the texts of a group are alike,
+    so this takes only pairs that nearly reach the similarity; shingles that all have in common never come into it.
+    """
+    u, v = similarity.numerator, similarity.denominator
+    n = members.count()
+    items = cut(_differences(members, texts, width), "differences", TEXT * n)
+    nodes = items.groupBy("main", "nid", "component").agg(F.first("n").alias("n"), F.count("x").alias("d"))
+    nodes = cut(nodes.withColumn("w", (u + v) * F.col("d") - (v - u) * F.col("n")), "differing", n)
+    # partners of a member: for the main component the others, for these all
+    outside = F.col("component") != F.col("main")
+    least = nodes.groupBy("main").agg(F.min(F.struct("w", "nid", "component")).alias("_best"), F.min(F.when(outside, F.col("w"))).alias("_least_outside"))
+    least = cut(least.select(F.col("main").alias("_m"), "_best", "_least_outside"), "least", n)
+    nodes = nodes.join(least, F.col("main") == F.col("_m"))
+    partner = F.when(outside, F.col("_best.w")).otherwise(F.col("_least_outside"))
+    near = nodes.where((F.col("w") + F.col("_best.w") <= 0) & (F.col("component") != F.col("_best.component")))
+    near = near.select(F.least("nid", "_best.nid").alias("a"), F.greatest("nid", "_best.nid").alias("b"))
+    # the first ``reach`` differences of a member in the common order hold one that it shares with any partner
+    reach = F.col("d") - F.greatest(F.lit(0), F.ceil((F.col("w") + partner) / (2 * (u + v)))) + 1
+    nodes = cut(nodes.withColumn("reach", reach).where("reach > 0 AND d > 0").select(F.col("main").alias("_m"), F.col("nid").alias("_n"), "d", "w", "reach"), "reaching", n)
+    often = items.where("x IS NOT NULL").groupBy("main", "x").agg(F.count("*").alias("often"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    often = cut(often.where("_low <> _high").select(F.col("main").alias("_m"), F.col("x").alias("_x"), "often"), "often", TEXT * n)
+    shared = items.join(often, (F.col("main") == F.col("_m")) & (F.col("x") == F.col("_x"))).select("main", "nid", "component", "x", "often")
+    # differences that no other component has come first of all
+    inside = Window.partitionBy("main", "nid")
+    shared = shared.withColumn("_k", F.row_number().over(inside.orderBy("often", "x"))).withColumn("_shared", F.count("*").over(inside))
+    shared = shared.join(nodes, (F.col("main") == F.col("_m")) & (F.col("nid") == F.col("_n"))).withColumn("left", F.col("_shared") - F.col("_k") + 1)  # this one and those after it
+    first = cut(shared.where("d - left < reach").select("main", "nid", "component", "x", "left", "w"), "early", TEXT * n)
+    for done in (items, nodes, often):
+        drop(done)
+    other = first.where(outside).select(F.col("main").alias("_m"), F.col("x").alias("_x"), F.col("nid").alias("o"), F.col("component").alias("co"), F.col("left").alias("lo"), F.col("w").alias("wo"))
+    once = (F.col("component") == F.col("main")) | (F.col("nid") < F.col("o"))
+    fits = (2 * (u + v) * F.least("left", "lo") >= F.col("w") + F.col("wo"))
+    pairs = first.join(other, (F.col("main") == F.col("_m")) & (F.col("x") == F.col("_x")) & (F.col("component") != F.col("co")) & once & fits)
+    return pairs.select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b")).union(near).distinct()
 
 
 def classes_of(signatures: DataFrame, key: list[str]) -> DataFrame:
     """One row per distinct non-empty set: s1, s2, its least row by ``key`` (as ``rep``), and an id ``nid``."""
     found = signatures.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("rep"))
-    return cut(found.select("s1", "s2", "rep", F.monotonically_increasing_id().alias("nid")), "classes")
+    return cut(found.select("s1", "s2", "rep", F.monotonically_increasing_id().alias("nid")), "classes", signatures.count())
 
 
-def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int, width: int = WIDTH, similarity: Fraction = SIMILARITY, release: bool = False) -> tuple[DataFrame, DataFrame]:
+def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int | None = None, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links between classes: (links found, the component of each class that has a link).
 
-    ``text_of`` gets (nid, rep) rows and returns (nid, text); ``release`` deletes the table of signatures once it is read.
+    ``text_of`` gets (nid, rep) rows and returns (nid, text).  ``t`` is the number of coordinates of the signatures'
+    ``sketch``; without it only sizes are compared before full sets.
     """
+    n = classes.count()  # bounds the rows of what follows
     members = classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep", "nid")
     same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"rep.{k}"))
-    reps = cut(signatures.where("n > 0").join(members, same).select("nid", "n", "bands", "sketch"), "reps")
-    if release:
-        drop(signatures)
+    reps = cut(signatures.where("n > 0").join(members, same).select("nid", "n", "bands", *["sketch"] * (t is not None)).dropDuplicates(["nid"]), "reps", n)
     banded = reps.select("nid", F.explode("bands").alias("bucket"))
     drawn = F.struct(F.xxhash64("nid", "bucket").alias("x"), "nid")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(drawn)["nid"].alias("pivot"), F.max(drawn)["nid"].alias("second")).where("size > 1")
-    full = cut(banded.join(cut(buckets, "buckets"), "bucket").distinct(), "members")
-    texts = cut(text_of(full.select("nid").distinct().join(classes, "nid").select("nid", "rep")), "texts")
+    full = cut(banded.join(cut(buckets, "buckets", 8 * n), "bucket").distinct(), "members", 16 * n)
+    texts = cut(text_of(full.select("nid").distinct().join(classes, "nid").select("nid", "rep")), "texts", TEXT * n)
 
     tried = full.select("nid", F.explode(F.array("pivot", "second")).alias("with")).where("nid <> with")
     pairs = tried.select(F.least("nid", "with").alias("a"), F.greatest("nid", "with").alias("b")).distinct()
-    links = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links")
-    joined = cut(components(links), "joined")
+    links = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links", TEXT * full.count())
+    joined = cut(components(links), "joined", n)
 
     # links between members of a bucket that are in different components (up to three members have all been compared)
-    up, down = similarity.numerator, similarity.denominator
-    here = full.where("size > 3").join(joined.withColumnRenamed("node", "nid"), "nid", "left")
-    here = here.join(reps.select("nid", "n"), "nid").select("bucket", "pivot", "second", "nid", "n", F.coalesce("component", "nid").alias("component"))
-    here = cut(here, "open")
+    here = full.where("size > 3").join(joined.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("component"))
+    here = cut(here, "open", 16 * n)
     parts = here.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    here = cut(here.join(cut(mixed, "mixed"), "bucket"), "mixed")
-    shared = cut(_shared_counts(here.select("nid", "component").distinct(), texts, width), "shared")
-    here = here.join(shared.where("shared > 0"), "nid")
-    outer = here.where("component <> main").select(F.col("bucket").alias("_b"), F.col("nid").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"), F.col("shared").alias("so"))
-    apart = F.col("component") != F.col("co")
-    for drawn in ("pivot", "second"):
-        apart &= (F.col("nid") != F.col(drawn)) & (F.col("o") != F.col(drawn))
-    once = (F.col("component") == F.col("main")) | (F.col("nid") < F.col("o"))
-    fits = (F.least("n", "no") * down >= F.greatest("n", "no") * up) & (F.least("shared", "so") * (up + down) >= (F.col("n") + F.col("no")) * up)
-    pairs = here.join(outer, (F.col("bucket") == F.col("_b")) & apart & once & fits)
-    pairs = pairs.select(F.least("nid", "o").alias("a"), F.greatest("nid", "o").alias("b")).distinct()
-    more = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links")
+    # buckets of one main component are searched as one group, so that pairs with many buckets in common meet once
+    here = cut(here.join(cut(mixed, "mixed", n), "bucket").select("main", "nid", "component").distinct(), "mixed", 4 * n)
+    drawn = F.struct(F.xxhash64("nid").alias("x"), "nid")
+    pivots = here.where("component = main").groupBy(F.col("main").alias("_m")).agg(F.min(drawn)["nid"].alias("pivot"))
+    here = here.join(pivots, F.col("main") == F.col("_m")).select("main", "nid", "component", "pivot")
+    pairs = _open_pairs(here, texts, width, similarity)
+    more = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links", TEXT * n)
     merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     for done in (texts, reps, full):
         drop(done)
@@ -199,7 +248,7 @@ def near_duplicates(docs: DataFrame, t: int = 128, rows: int | None = None, widt
     named = classes.join(merged.withColumnRenamed("node", "nid"), "nid", "left").select("s1", "s2", F.coalesce("component", "nid").alias("c"), F.col("rep.doc_id").alias("least"))
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = named.select("s1", "s2", "c").join(names, "c").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "component_id")
-    out = signatures.select("doc_id", "h", "n", "s1", "s2").join(cut(named, "named"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") > 0), "left")
+    out = signatures.select("doc_id", "h", "n", "s1", "s2").join(cut(named, "named", classes.count()), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

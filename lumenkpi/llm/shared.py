@@ -29,9 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults (10,000 rows, 64 MB): tasks hold several at a time.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per Spark application, so that their Python workers can import it."""
+    """Send this package to the executors, once per Spark application, so that their Python workers can import it.
+
+    Also bounds Arrow batches, so that a task's memory beside the heap is a few times ``BATCH_BYTES`` and its longest row.
+    """
     sc = spark.sparkContext
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     if getattr(sc, "_package_shipped", None) is None:
         root = Path(__file__).resolve().parent.parent
         at = Path(tempfile.mkdtemp(prefix="package-"))
@@ -43,16 +53,44 @@ def ship(spark: SparkSession) -> None:
         sc._package_shipped = True
 
 
-def cut(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and makes row ids in it final."""
+#: Rows of a task that writes a table of known size.
+TASK_ROWS = 200_000
+
+
+def cut(df: DataFrame, tag: str = "t", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and makes row ids in it final.
+
+    ``rows``, an upper bound of the table's rows where one is known, keeps a small table from being written by many tasks.
+    """
     ship(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+    path = scratch(df.sparkSession, tag)
+    write(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a table; the shuffles that led to it are deleted, as nothing reads them any more."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the table behind a frame that :func:`cut` returned; nothing lazy may read it any more."""
     path = getattr(df, "_scratch", None)
