@@ -1,26 +1,27 @@
 """Removal of passages that repeat across documents, by paragraph MinHash banding and components.
 
-Two kinds of paragraph are looked at:
-
-* A *line* of at least ``near_words`` words, by default those of one shingle, gets a similarity sketch; lines that
-  collide in a band (their number is tuned for recall) are joined, the exact Jaccard similarity of their 5-word shingles
-  decides, and linked lines form a component.  Text may be wrapped, so consecutive lines of fewer than ``SHORT_LINE``
-  words with no blank line between them are one such paragraph too, besides being lines.
-* A passage may also sit in the middle of longer lines.  So the words of a text are also cut wherever a word pair has
-  the least hash of some ``WINDOW`` pairs in a row: such places depend on nothing further away, so the inside of a
-  repeated passage is cut alike everywhere, and no two cuts are further apart than ``WINDOW`` words.  A *segment* goes
-  from a cut to the first one at least ``min_words`` words on; segments overlap and together cover a passage from its
-  first inner cut to its last.  Every passage of 50 words holds one of ``MIN_WORDS``, wherever it stands.  Segments, lines and
-  wrapped paragraphs of at least ``min_words`` words that are equal word by word form a group.
-
-The first paragraph of a group or component (by document, then place) stays, the others are removed.  A group of any
-size is a count and a minimum, never a list.  A paragraph that overlaps the first one (a line and the wrapped paragraph
-it is in) is not a copy of it.
-
-Edge cases: null and empty texts have no paragraphs; shorter paragraphs are left alone; rows with a null ``doc_id`` are
-left out of the search and keep their text; repeated rows are one document; ties cannot arise, as a paragraph is named
-by document, hash of its text and place; other columns are ignored, whatever their names; an empty table gives an empty
-result.  Equality of words and shingles is that of 128 and 64 hashed bits.
+The paragraphs of a text, all of at least ``min_words`` words, are
+
+* its lines,
+* runs of consecutive lines of fewer than ``SHORT_LINE`` words with no blank line between them (text may be wrapped),
+* windows of ``SPAN`` words, for passages that stand anywhere in longer lines or go over several.  A window begins where
+  a 5-word shingle has the least hash of some ``PASSAGE - SPAN + 1`` in a row.  Whether one begins at a place depends on the words near it alone, so
+  a passage has the same windows in every text, and any passage of ``PASSAGE`` words holds at least one whole window.
+
+Every paragraph has a MinHash sketch of ``T_SKETCH`` coordinates in bands of ``ROWS``.  Lines and runs use all bands: a
+pair of similarity 0.75 shares one with probability 0.9987.  Windows use the first ``WINDOW_BANDS`` (0.92 for a window; a
+passage has several).  Paragraphs that collide are joined, the exact Jaccard similarity of their 5-word shingles decides,
+and linked ones form a component: see ``neardup`` for how that is done without ever expanding a bucket into its pairs.
+Equal shingle sets are one class, which collides in every band and is linked by definition.
+
+The first paragraph of a component (by document, then place) stays, the others are removed.  A paragraph that overlaps
+the first one (a line and a window in it) is not a copy of it, and a component of such only is left alone.
+
+Edge cases: null and empty texts have no paragraphs; shorter paragraphs than ``min_words`` are left alone, and one of
+fewer than five words has its words as its only shingle; rows with a null ``doc_id`` are left out of the search and keep
+their text; repeated rows are one document; ties cannot arise, as a paragraph is named by document, hash of its text and
+place; other columns are ignored, whatever their names; an empty table gives an empty result; very long texts are cut
+into paragraphs whole.  Sets are told apart by 128 hashed bits, shingles by 64.
 """
 
 from __future__ import annotations
@@ -34,40 +35,16 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
+from lumenkpi.llm.shared import cut, drop, fold, ship, spread, table, unfold
 
-MIN_WORDS, NEAR_WORDS = 8, neardup.WIDTH
-WINDOW = 11  # word pairs; 4 * (WINDOW - 1) + MIN_WORDS + 2 = 50 words always hold a segment that is cut alike
+WIDTH = neardup.WIDTH
+#: The least passage that the registered query looks for, in words.  The operator takes any.
+MIN_WORDS = 20
+PASSAGE, SPAN = 50, 20
 SHORT_LINE = 32  # words; shorter lines may be pieces of a wrapped paragraph
-T_SKETCH, ROWS = 64, 4  # 16 bands: a pair of similarity 0.75 is found with probability 0.998, one of 0.85 with 0.99999
+T_SKETCH, ROWS, WINDOW_BANDS = 16, 2, 3
 NEWLINE = 10
-
-
-def _sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each run of word hashes words[starts:ends), as signed integers."""
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = ends - starts
-    at = np.cumsum(size) - size
-    inside = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(at, size)
-    picked, p = words[inside + np.repeat(starts, size)], K.powers(int(size.max()) + 1)[inside]
-    one = np.add.reduceat(picked * p, at) + size.astype(np.uint64)
-    two = np.add.reduceat(K.mix(picked + np.uint64(77)) * p, at) + size.astype(np.uint64)
-    return K.mix(one).view(np.int64), K.mix(two).view(np.int64)
-
-
-def _least_places(pair: np.ndarray, window: int, row: np.ndarray) -> np.ndarray:
-    """Whether each entry is the least (the first of equal ones) of some ``window`` entries in a row of one ``row``, or of all if that has fewer."""
-    n = len(pair)
-    reach = np.ones(n, np.int64)  # entries in a row around each of which it is the least
-    before = after = np.ones(n, bool)
-    for d in range(1, min(window, n)):
-        same = row[d:] == row[:-d]
-        before = np.append(np.zeros(d, bool), before[d:] & same & (pair[d:] < pair[:-d]))
-        after = np.append(after[:-d] & same & (pair[:-d] <= pair[d:]), np.zeros(d, bool))
-        reach += before
-        reach += after
-    return reach >= np.minimum(window, np.bincount(row)[row])
+UNIT = "doc_id long, h long, start int, stop int, n int, s1 long, bands array<long>"
 
 
 class _Block:
@@ -78,6 +55,7 @@ class _Block:
         self.rows = len(offsets) - 1
         ws, we, first = K.words(low, offsets)
         self.hashes, self.first = K.run_hashes(low, ws, we), first
+        self.shingles = K.shingles(self.hashes, WIDTH)
         self.row_of_word = np.repeat(np.arange(self.rows), np.diff(first))
         points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
         base = points[offsets[:-1]]
@@ -95,129 +73,123 @@ class _Block:
         row, short = self.row_of_word[self.lines], self.line_ends - self.lines < SHORT_LINE
         self.wrapped = (newlines == 1) & (row[1:] == row[:-1]) & short[1:] & short[:-1]  # a line and the one after it
 
-    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and end of each run of two or more short lines without a blank line between them."""
         bound = np.diff(np.concatenate([[0], self.wrapped.astype(np.int8), [0]]))
         return self.lines[np.flatnonzero(bound > 0)], self.line_ends[np.flatnonzero(bound < 0)]
 
-    def segments(self, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-        """First word and end of each segment: from a cut to the first one ``min_words`` words on, in the same text."""
-        n = len(self.hashes)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edge = np.zeros(n + 1, bool)
-        edge[self.first] = True
-        inner = np.zeros(n + 1, bool)
-        at = np.flatnonzero(self.row_of_word[1:] == self.row_of_word[:-1])  # pairs of one text
-        if len(at):
-            pair = K.mix(self.hashes[at] * np.uint64(5) + self.hashes[at + 1])
-            inner[at] = _least_places(pair, WINDOW, self.row_of_word[at])
-        cuts = np.flatnonzero(edge | inner)
-        starts = cuts[:-1]
-        ends = cuts[np.minimum(np.searchsorted(cuts, starts + min_words), len(cuts) - 1)]
-        return starts, np.minimum(ends, self.first[1:][self.row_of_word[starts]])
-
-
-def _scan(docs: DataFrame, run: Callable[[_Block, pa.RecordBatch, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def windows(self) -> np.ndarray:
+        """First word of each window of SPAN words."""
+        ends = self.first[1:]
+        starts = K.least_of_windows(self.shingles, self.first[:-1], np.maximum(self.first[:-1], ends - WIDTH + 1), PASSAGE - SPAN + 1)
+        return starts[starts + SPAN <= ends[self.row_of_word[starts]]] if len(starts) else starts
+
+    def sets_of_ranges(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingle sets of word ranges, one after the other, and their sizes."""
+        found = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            found.append(np.unique(self.shingles[a : b - WIDTH + 1]) if b - a >= WIDTH else K.shingle_sets(self.hashes[a:b], np.array([0, b - a]))[0])
+        return np.concatenate(found) if found else np.zeros(0, np.uint64), np.array([len(x) for x in found], np.int64)
+
+    def sets_of_windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for windows from these words on."""
+        rows = np.sort(self.shingles[starts[:, None] + np.arange(SPAN - WIDTH + 1)], axis=1)
+        new = np.ones(rows.shape, bool)
+        np.not_equal(rows[:, 1:], rows[:, :-1], out=new[:, 1:])
+        return rows[new], new.sum(axis=1)
+
+
+def units(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
+    """The paragraphs of at least ``min_words`` words: document, place, number of shingles, identity and bands."""
     ship(docs.sparkSession)
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(block: _Block, batch: pa.RecordBatch, a: int, sketcher: K.FastSketch) -> Iterator[pa.RecordBatch]:
+        kinds = [(*pair, None) for pair in ((block.lines, block.line_ends), block.runs())]
+        if min_words <= SPAN:
+            begin = block.windows()
+            kinds.append((begin, begin + SPAN, WINDOW_BANDS))
+        for s, e, few in kinds:
+            keep = e - s >= min_words
+            s, e = s[keep], e[keep]
+            if not len(s):
+                continue
+            items, sizes = block.sets_of_ranges(s, e) if few is None else block.sets_of_windows(s)
+            bands = K.band_hashes(sketcher.flat(items, sizes), ROWS)[:, :few]
+            offsets = np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)
+            at = pa.array(a + block.row_of_word[s])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(block.begin[s].astype(np.int32)), pa.array(block.end[e - 1].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(K.set_identities(items, sizes)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(bands).reshape(-1)))],
+                ["doc_id", "h", "start", "stop", "n", "s1", "bands"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = K.FastSketch(T_SKETCH)
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(2))
             for a, b in K.blocks(offsets):
-                yield from run(_Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), batch, a)
+                yield from rows_of(_Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), batch, a, sketcher)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(over, schema)
-
-
-def _key(batch: pa.RecordBatch, a: int, row: np.ndarray) -> list[pa.Array]:
-    at = pa.array(a + row)
-    return [batch.column(0).take(at), batch.column(1).take(at)]
-
-
-def exact_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Segments, lines and wrapped paragraphs of at least ``min_words`` words with two hashes of their words."""
-
-    def run(block: _Block, batch: pa.RecordBatch, a: int) -> Iterator[pa.RecordBatch]:
-        for s, e in ((block.lines, block.line_ends), block.paragraphs(), block.segments(min_words)):
-            keep = e - s >= min_words
-            s, e = s[keep], e[keep]
-            if len(s):
-                one, two = _sequence_hashes(block.hashes, s, e)
-                yield pa.RecordBatch.from_arrays([*_key(batch, a, block.row_of_word[s]), pa.array(block.begin[s].astype(np.int32)), pa.array(block.end[e - 1].astype(np.int32)), pa.array(one), pa.array(two)], ["doc_id", "h", "start", "stop", "s1", "s2"])
-
-    return _scan(docs, run, "doc_id long, h long, start int, stop int, s1 long, s2 long")
-
+    return rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, UNIT)
 
-def line_signatures(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Lines and wrapped paragraphs of at least ``near_words`` words with their signatures."""
 
-    def run(block: _Block, batch: pa.RecordBatch, a: int) -> Iterator[pa.RecordBatch]:
-        sketcher = K.FastSketch(T_SKETCH)
-        lines = K.shingle_sets(block.hashes, np.append(block.lines, len(block.hashes)))
-        s, e = block.paragraphs()
-        joined = [K.shingle_sets(block.hashes[x:y], np.array([0, y - x]))[0] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-        for s, e, sets in ((block.lines, block.line_ends, lines), (s, e, joined)):
-            keep = e - s >= near_words
-            s, e, sets = s[keep], e[keep], [x for x, ok in zip(sets, keep.tolist(), strict=True) if ok]
-            if len(s):
-                yield pa.RecordBatch.from_arrays([*_key(batch, a, block.row_of_word[s]), pa.array(block.begin[s].astype(np.int32)), pa.array(block.end[e - 1].astype(np.int32)), *neardup.signature_columns(sets, sketcher, ROWS)], ["doc_id", "h", "start", "stop", "n", "s1", "s2", "bands", "sketch"])
+KEY = ["doc_id", "h", "start", "stop"]
 
-    return _scan(docs, run, f"doc_id long, h long, start int, stop int, {neardup.SIGNATURE}")
 
-
-KEY = ["doc_id", "h", "start", "stop"]
+def _colliding(found: DataFrame) -> DataFrame:
+    """The units that share a band with another one; hashes and numbers of units are shuffled, not the units' places."""
+    banded = spread(found.select("uid", F.explode("bands").alias("bucket")), "bucket")
+    often = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("_b"))
+    some = cut(banded.join(often, F.col("bucket") == F.col("_b"), "left_semi").select(F.col("uid").alias("_u")).distinct(), "colliding")
+    # equal sets have equal first bands too, so both numbers tell classes apart
+    return cut(found.join(some, F.col("uid") == F.col("_u"), "left_semi").select(*KEY, F.col("n").cast("long").alias("n"), "s1", F.col("bands")[0].alias("s2"), "bands").distinct(), "units")
 
 
 def _overlaps(a: str) -> Column:
-    """Whether the paragraph in the columns KEY of struct ``a`` (or of the row) overlaps ``rep``, the first of its group."""
+    """Whether the paragraph in the columns KEY of struct ``a`` (or of the row) overlaps ``rep``, the first of its component."""
     return (F.col(f"{a}doc_id") == F.col("rep.doc_id")) & (F.col(f"{a}h") == F.col("rep.h")) & (F.col(f"{a}start") < F.col("rep.stop"))
 
 
-def equal_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Paragraphs that are equal to another: KEY and the group's first one (``rep``)."""
-    units = cut(exact_units(docs, min_words), "units")
-    often = cut(units.groupBy("s1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("s1").alias("_1")), "often")
-    again = cut(units.join(often, F.col("s1") == F.col("_1")).drop("_1"), "again")
-    drop(units)
-    drop(often)
-    groups = again.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("rep"), F.max(F.struct(*KEY)).alias("last")).where(~_overlaps("last."))
-    groups = cut(groups.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), "groups")
-    return again.join(groups, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep", F.lit("equal").alias("kind"))
+def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(nid, text) of the paragraphs (nid, rep); the places of one text are cut out of it together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for a in range(0, len(wanted), 4096):
+                    part = wanted[a : a + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["nid"] for x in part], pa.int64()), pa.array([text[x["start"] : x["stop"]] for x in part], pa.string())], ["nid", "text"])
 
-def near_paragraphs(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Lines and wrapped paragraphs that are near copies of another: KEY and the component's first one (``rep``)."""
-    signatures = cut(line_signatures(docs, near_words), "lines")
-    lines = cut(signatures.select(*KEY, "s1", "s2"), "places")
-    classes = neardup.classes_of(signatures, KEY)
+    wanted = found.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h")).agg(F.collect_list(F.struct("nid", F.col("rep.start").alias("start"), F.col("rep.stop").alias("stop"))).alias("wanted"))  # within one text
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return source.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "wanted").mapInArrow(run, "nid long, text string").dropDuplicates(["nid"])
 
-    def text_of(found: DataFrame) -> DataFrame:
-        found = found.select("nid", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"), F.col("rep.start").alias("_a"), F.col("rep.stop").alias("_b"))
-        same = (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))
-        return source.join(found, same).select("nid", F.expr("substring(text, _a + 1, _b - _a)").alias("text"))
 
-    _, merged = neardup.linked_classes(signatures, classes, KEY, text_of, T_SKETCH, release=True)
-    linked = classes.join(merged, F.col("nid") == F.col("node")).select("s1", "s2", "rep", "component")
-    first = linked.groupBy("component").agg(F.min("rep").alias("rep"))
-    linked = cut(linked.drop("rep").join(first, "component").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), "linked")
-    out = cut(lines.join(linked, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep"), "near")
-    copied = out.groupBy("rep").agg(F.max(F.struct(*KEY)).alias("last")).where(~_overlaps("last."))  # not only by a line and its own paragraph
-    return out.join(copied.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").select(*KEY, "rep", F.lit("near").alias("kind"))
+def repeated_paragraphs(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
+    """Every paragraph with a copy: KEY, kind, the place of the one that stays, and ``removed``.
 
-
-def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Every paragraph with an equal or near copy: KEY, kind, the place of the one that stays, and ``removed``."""
-    found = equal_paragraphs(docs, min_words).union(near_paragraphs(docs, near_words))
-    found = found.where(~_overlaps("") | (F.struct(*KEY) == F.col("rep")))
-    return found.select(*KEY, "kind", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.start").alias("rep_start"), (F.struct(*KEY) != F.col("rep")).alias("removed")).distinct()
+    ``kind`` is ``equal`` where the shingle sets are those of the one that stays, else ``near``.
+    """
+    found = cut(units(docs, min_words).withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
+    signatures = _colliding(found)
+    drop(found)
+    classes = neardup.classes_of(signatures, KEY)
+    _, merged = neardup.linked_classes(signatures, classes, KEY, lambda wanted: _texts(docs, wanted))
+    named = classes.join(merged.withColumnRenamed("node", "_node"), F.col("nid") == F.col("_node"), "left").select("s1", "s2", "nid", "rep", F.coalesce("component", "nid").alias("component"))
+    first = named.groupBy("component").agg(F.min(F.struct("rep", "nid")).alias("_first")).select(F.col("component").alias("_c"), "_first")
+    named = named.join(first, F.col("component") == F.col("_c")).select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("_first.rep").alias("rep"), (F.col("nid") == F.col("_first.nid")).alias("_equal"))
+    rows = cut(signatures.join(cut(named, "named"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep", "_equal"), "copies")
+    drop(signatures)
+    rows = rows.where(~_overlaps("") | (F.struct(*KEY) == F.col("rep")))
+    copied = rows.where(F.struct(*KEY) != F.col("rep")).select(F.col("rep").alias("_rep")).distinct()
+    rows = rows.join(copied, F.col("rep") == F.col("_rep"), "left_semi")
+    kind = F.when(F.col("_equal"), "equal").otherwise("near")
+    return rows.select(*KEY, kind.alias("kind"), F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.start").alias("rep_start"), (F.struct(*KEY) != F.col("rep")).alias("removed"))
 
 
 def strip_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the removed paragraphs cut out of ``text``; all other columns as they are."""
-    spans = found.where("removed").groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))  # within one text
+    spans = found.where("removed").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))  # within one text
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_spans")
     on = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
     kept = """aggregate(_spans, struct(0 AS at, '' AS kept),
@@ -230,7 +202,7 @@ def strip_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph of every document that repeats, with the one that stays."""
-    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("h")
+    return repeated_paragraphs(table(spark, sf_dir, "documents"), MIN_WORDS).drop("h")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_paragraphs": op9_paragraphs}

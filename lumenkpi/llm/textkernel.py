@@ -129,16 +129,21 @@ def _runs(kind: np.ndarray, solid: np.ndarray, offsets: np.ndarray, lo: int) ->
     return starts + lo, ends + lo, first
 
 
+def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
+    """The 64-bit hash of the run of ``width`` words from each place on, whatever text they belong to."""
+    n = len(hashes)
+    window = np.zeros(max(0, n - width + 1), np.uint64)
+    for j in range(width):
+        window += hashes[j : n - width + 1 + j] * (powers(2 * width + 2)[2 * j + 2] | np.uint64(1)) if len(window) else window
+    return mix(window)
+
+
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """Per row the sorted distinct 64-bit hashes of its runs of ``width`` words.
 
     A row with fewer words has its whole sequence as one; a row without words an empty set.
     """
-    n = len(hashes)
-    window = np.zeros(max(0, n - width + 1), np.uint64)
-    for j in range(width):
-        window += hashes[j : n - width + 1 + j] * (powers(2 * width + 2)[2 * j + 2] | np.uint64(1)) if len(window) else window
-    window = mix(window)
+    window = shingles(hashes, width)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
@@ -177,15 +182,18 @@ class FastSketch:
 
     def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
         """A row of t values for each set; the rows of empty sets are all 2**64 - 1."""
-        t, sizes = self.t, np.array([len(s) for s in sets], np.int64)
+        return self.flat(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64))
+
+    def flat(self, items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same for sets that stand one after the other in ``items``."""
+        t, n = self.t, len(sizes)
         empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-        out = np.full((len(sets), t), empty, np.uint64)
+        out = np.full((n, t), empty, np.uint64)
         flat = out.reshape(-1)
         live = np.flatnonzero(sizes)
         if not len(live):
             return out
-        items = np.concatenate([sets[i] for i in live])
-        owner = np.repeat(live, sizes[live]) * t
+        owner = np.repeat(np.arange(n), sizes) * t
         low = np.uint64((1 << 56) - 1)
         for i in range(2 * t):
             h = mix(items ^ self.seeds[i])
@@ -194,7 +202,7 @@ class FastSketch:
             live = live[(out[live] == empty).any(axis=1)]
             if not len(live):
                 break
-            more = np.zeros(len(sets), bool)
+            more = np.zeros(n, bool)
             more[live] = True
             stay = more[owner // t]
             items, owner = items[stay], owner[stay]
@@ -211,6 +219,39 @@ def band_hashes(sketches: np.ndarray, rows: int) -> np.ndarray:
     return mix(out + np.arange(1, t // rows + 1, dtype=np.uint64) * _M2).view(np.int64)
 
 
+def set_identities(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first of the two numbers of :func:`set_identity` for non-empty sets that stand one after the other."""
+    return np.add.reduceat(mix(items), np.cumsum(sizes) - sizes).view(np.int64) if len(sizes) else np.zeros(0, np.int64)
+
+
+def least_of_windows(values: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """The places that hold the least value (the first of equal ones) of some ``window`` values in a row.
+
+    Rows are the ranges [first, last) of ``values``, in order; a row of fewer values has the place of its least one.
+    Values are compared by their upper 36 bits.
+    """
+    n = len(values)
+    some = last > first
+    first, last = first[some], last[some]
+    if not len(first):
+        return np.zeros(0, np.int64)
+    place = np.uint64((1 << 28) - 1)
+    least = (values & ~place) | np.arange(n, dtype=np.uint64)  # the place breaks ties
+    few = last - first < window
+    short = np.minimum.reduceat(np.append(least, place), np.stack([first[few], last[few]], 1).reshape(-1))[::2] if few.any() else least[:0]
+    step, size = least, 1  # step[i]: the least of size values from i on
+    while size < window and n >= window:
+        by = min(size, window - size)
+        step = np.minimum(step[: len(step) - by], step[by:])
+        size += by
+    begin = np.zeros(n + 1, np.int8)  # where a whole window begins
+    begin[first[~few]] = 1
+    begin[last[~few] - window + 1] -= 1
+    inside = np.flatnonzero(np.cumsum(begin[:n], dtype=np.int8) > 0)
+    found = step[inside] if len(inside) else least[:0]
+    return np.unique(np.concatenate([short, found]) & place).astype(np.int64)
+
+
 def set_identity(items: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers that identify a set of hashes, as signed integers."""
     if not len(items):

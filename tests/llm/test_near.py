@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -141,29 +142,107 @@ def block_of(*texts):
     return P._Block(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
 
 
-def test_every_passage_of_fifty_words_holds_a_segment():
+def test_every_passage_of_fifty_words_holds_a_window():
     rnd = random.Random(11)
     covered = []
     for _ in range(300):
-        shared, sides = passage(rnd, 50), []
+        shared, sides = passage(rnd, P.PASSAGE), []
         for _ in range(2):
-            before = rnd.randint(13, 60)
-            s, e = block_of(f"{passage(rnd, before)} {shared} {passage(rnd, 40)}").segments()
-            sides.append({(a - before, b - before) for a, b in zip(s.tolist(), e.tolist(), strict=True) if a >= before and b <= before + 50 and b - a >= P.MIN_WORDS})
+            before = rnd.randint(0, 60)
+            block = block_of(f"{passage(rnd, before)} {shared} {passage(rnd, rnd.randint(0, 40))}")
+            sides.append({a - before for a in block.windows().tolist() if before <= a <= before + P.PASSAGE - P.SPAN})
         found = sides[0] & sides[1]
         assert found
-        covered.append(len({i for a, b in found for i in range(a, b)}))
-    assert sum(covered) > 0.7 * 50 * 300
+        covered.append(len({i for a in found for i in range(a, a + P.SPAN)}))
+    assert sum(covered) > 0.5 * P.PASSAGE * 300
 
 
-def test_segments_do_not_depend_on_the_texts_beside():
+def test_windows_do_not_depend_on_the_texts_beside():
     rnd = random.Random(13)
     for _ in range(40):
-        texts = [passage(rnd, rnd.choice([0, 1, 2, 9, 30])) for _ in range(3)]
-        s, e = block_of(*texts).segments()
+        texts = [passage(rnd, rnd.choice([0, 1, 2, 9, 19, 20, 30, 90])) for _ in range(4)]
         alone, base = [], 0
         for text in texts:
-            a, b = block_of(text).segments()
-            alone += zip((a + base).tolist(), (b + base).tolist(), strict=True)
+            alone += (block_of(text).windows() + base).tolist()
             base += len(text.split())
-        assert list(zip(s.tolist(), e.tolist(), strict=True)) == alone
+        assert block_of(*texts).windows().tolist() == alone
+
+
+def plain_paragraphs(text, min_words):
+    """(first word, end, words) of the lines, runs of short lines and windows of a text."""
+    words, lines = [], []
+    for line in text.split("\n"):
+        lines.append((len(words), len(words := words + line.lower().split())))
+    found = [x for x in lines if x[1] > x[0]]
+    run = []
+    for x in [*lines, (0, 10**9)]:
+        if 0 < x[1] - x[0] < P.SHORT_LINE:
+            run.append(x)
+            continue
+        if len(run) > 1:
+            found.append((run[0][0], run[-1][1]))
+        run = []
+    found += [(a, a + P.SPAN) for a in block_of(text).windows().tolist()]
+    return [(a, b, words[a:b]) for a, b in found if b - a >= min_words]
+
+
+def plain_set(words):
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("min_words", [1, 20])
+def test_paragraphs_against_all_pairs(docs_of, min_words):
+    rnd = random.Random(17)
+    pool = [passage(rnd, n).split() for n in (2, 4, 7, 12, 22, 26, 30, 45, 60, 70, 110)]
+
+    def edited(words):
+        words = list(words)
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
+            words[rnd.randrange(len(words))] = passage(rnd, 1)
+        return words
+
+    texts = []
+    for _ in range(24):
+        lines = []
+        for _ in range(rnd.randint(1, 5)):
+            words = edited(rnd.choice(pool)) if rnd.random() < 0.6 else passage(rnd, rnd.randint(1, 60)).split()
+            lines.append(" ".join(words if rnd.random() < 0.7 else [*passage(rnd, 9).split(), *words, *passage(rnd, 13).split()]))
+        texts.append(rnd.choice(["\n", "\n\n"]).join(lines))
+    units = {(d, a, b): plain_set(w) for d, t in enumerate(texts) for a, b, w in plain_paragraphs(t, min_words)}
+    places = sorted(units)
+    name = {u: u for u in units}
+
+    def find(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for i, x in enumerate(places):
+        for y in places[i + 1 :]:
+            both = len(units[x] & units[y])
+            if 100 * both >= 75 * (len(units[x]) + len(units[y]) - both):
+                one, two = sorted((find(x), find(y)))
+                name[two] = one
+    overlaps = lambda x, first: x[0] == first[0] and x[1] < first[2]
+    expected = {(u, find(u)) for u in units if find(u) != u and not overlaps(u, find(u))}
+    starts = [[t[: m.start()].count("") - 1 for m in re.finditer(r"\S+", t)] for t in texts]
+    rows = P.repeated_paragraphs(docs_of(texts), min_words).where("removed").collect()
+    ends = [[m.end() for m in re.finditer(r"\S+", t)] for t in texts]
+    at = lambda d, start, stop: (d, starts[d].index(start), ends[d].index(stop) + 1)
+    got = {at(r.doc_id, r.start, r.stop): (r.rep_doc_id, starts[r.rep_doc_id].index(r.rep_start)) for r in rows}
+    wanted = {u: first[:2] for u, first in expected}
+    assert got.keys() <= wanted.keys() and len(got) >= 0.97 * len(wanted) and len(wanted) > 40
+    assert sum(wanted[u] == first for u, first in got.items()) >= 0.97 * len(got)
+
+
+def test_odd_paragraphs(docs_of):
+    """Very long texts, repeated rows and ties: the least document and place stays."""
+    rnd = random.Random(19)
+    line = passage(rnd, 40)
+    long = " ".join(passage(rnd, 30) for _ in range(1500))
+    texts = [long + "\n" + line, line, line, line, long, "a " * 3000, None, ""]
+    rows = P.repeated_paragraphs(docs_of(texts, [5, 3, 3, 4, 6, 7, 8, 9]), 20).collect()
+    kept = {(r.rep_doc_id, r.rep_start) for r in rows if texts.index(line) >= 0 and r.rep_doc_id == 3}
+    assert kept and {r.doc_id for r in rows if r.removed and r.rep_doc_id == 3} == {4, 5}
+    assert len([r for r in rows if r.doc_id == 6 and r.removed]) > 1000 and {r.rep_doc_id for r in rows if r.doc_id == 6} == {5}
+    assert {r.rep_doc_id for r in rows if r.doc_id == 7} == {7}  # it repeats itself
