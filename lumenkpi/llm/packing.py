@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenkpi.llm.shared import cut, drop, table
+from lumenkpi.llm.shared import cut, table
 
 CAPACITY = 2048
 SPECIAL = "<|endoftext|>"
@@ -133,6 +133,17 @@ class CachedEncoder:
         return out
 
 
+_ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def encoder_of(path: str) -> CachedEncoder:
+    """The encoder of a tokenizer file, made once in each Python process, so that tasks share it and what it has cached."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = CachedEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of one document's ids: all full but the first, which may be shorter."""
     n = len(ids) // 4
@@ -148,7 +159,7 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separa
     """One row per piece with its task and its place among that task's pieces of the same length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = CachedEncoder(path), Counter()
+        encode, seen = encoder_of(path), Counter()
         task, tail = TaskContext.get().partitionId(), np.array([separator], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -264,4 +275,3 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_packing": op6_packing}
 ORACLES: dict[str, str] = {}
-__all__ = ["CAPACITY", "CachedEncoder", "drop", "minimum_bin_slack", "pack", "pieces_of", "places", "tokenize_pieces"]
