@@ -3,12 +3,15 @@
 A text's lower-cased words are hashed, and of words of more than ``LONG`` code points (text without white space) every
 code point as a word of its own; a run of ``K`` words is an anchor if the least hash among its runs of ``S`` words
 is that of its first or its last one.  Whether it is depends on its own words alone, so the same passage has the same
-anchors in every text, and any ``K - S`` runs in a row hold at least one.  A document's fingerprint is its ``SIZE``
-least anchor hashes of 31 bits (all, if it has fewer), a sketch of a bounded size; the likeness of two texts is the Jaccard
-similarity of all their anchors of 64 bits, whatever their length.
+anchors in every text, and any ``K - S`` runs in a row hold at least one.
+
+A document's fingerprint is the list of all its anchors in order, each as 32 bits of its hash and its distance (in words, one hex digit)
+from the anchor before, whatever the length of the text.  Texts are matched by position: what they have in common are
+*links*, two anchors in a row at the same distance in both (64 bits of both hashes and the distance), wherever that is in the
+texts.  Their likeness is the Jaccard similarity of their sets of links.
 
 Edge cases: null and empty texts have an empty fingerprint; a text of fewer than ``K`` words has the hash of all its
-words as its only anchor; equal sets of anchors have likeness 1, an empty and a non-empty one 0; documents with a null
+words as its only anchor; the link of a single anchor is its hash; equal sets of links have likeness 1, an empty and a non-empty one 0; documents with a null
 ``doc_id`` come last in the order of documents, equal ids follow the hash of their texts, and rows equal in both are one
 document (with as many rows in the result); a single document is its own next one; an empty table gives an empty
 result; other columns are ignored, whatever their names; long texts are read whole.
@@ -23,55 +26,52 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm.shared import cut, ship, table
 
-K, S, SIZE = 5, 2, 256
-MASK = (1 << 31) - 1  # fingerprints hold 31 bits of an anchor's 64
+K, S = 5, 2
 LONG = 64  # code points of a word that is split into code points
 
 
-def _with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) -> DataFrame:
-    """``df`` with the anchors of a text column: distinct 64-bit hashes, or structs of position and hash in order."""
+def _with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the places (first words) and the 64-bit hashes of a text column's anchors, in order: ``<out>_at``, ``<out>_hash``."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     pieces = F.expr(f"CASE WHEN exists(_w, w -> length(w) > {LONG}) THEN flatten(transform(_w, w -> if(length(w) > {LONG}, split(w, ''), array(w)))) ELSE _w END")
     df = df.withColumn("_w", words).withColumn("_h", F.transform(pieces, lambda w: F.xxhash64(w)))
     df = df.withColumn("_g", F.expr("zip_with(_h, slice(_h, 2, greatest(size(_h) - 1, 0)), (a, b) -> xxhash64(a, b))"))
-    kmer = "xxhash64(_g[i], _g[i + 2], _h[i + 4])"
     closed = "least(_g[i + 1], _g[i + 2]) >= least(_g[i], _g[i + 3])"
-    one = f"named_struct('position', i, 'hash', {kmer})" if positions else kmer
-    all_words = "aggregate(_h, 0L, (s, x) -> xxhash64(s, x))"
-    few = f"array(named_struct('position', 0, 'hash', {all_words}))" if positions else f"array({all_words})"
-    found = f"filter(transform(sequence(0, size(_h) - {K}), i -> if({closed}, {one}, null)), x -> x IS NOT NULL)"
-    if not positions:
-        found = f"array_distinct({found})"
-    return df.withColumn(out, F.expr(f"CASE WHEN size(_h) >= {K} THEN {found} WHEN size(_h) > 0 THEN {few} ELSE slice({few}, 1, 0) END")).drop("_w", "_h", "_g")
+    df = df.withColumn(f"{out}_at", F.expr(f"CASE WHEN size(_h) >= {K} THEN filter(sequence(0, size(_h) - {K}), i -> {closed}) WHEN size(_h) > 0 THEN array(0) ELSE cast(array() AS array<int>) END"))
+    few = "array(aggregate(_h, 0L, (s, x) -> xxhash64(s, x)))"
+    df = df.withColumn(f"{out}_hash", F.expr(f"CASE WHEN size(_h) >= {K} THEN transform({out}_at, i -> xxhash64(_g[i], _g[i + 2], _h[i + 4])) WHEN size(_h) > 0 THEN {few} ELSE cast(array() AS array<bigint>) END"))
+    return df.drop("_w", "_h", "_g")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, position (first word), hash of every anchor: equal hashes align passages of different documents."""
     ship(docs.sparkSession)
-    found = _with_anchors(docs.select("doc_id", "text"), "text", "_anchors", positions=True)
-    return found.select("doc_id", F.explode("_anchors").alias("_a")).select("doc_id", "_a.position", "_a.hash")
+    found = _with_anchors(docs.select("doc_id", "text"), "text", "_a")
+    return found.select("doc_id", F.explode(F.arrays_zip("_a_at", "_a_hash")).alias("_a")).select("doc_id", F.col("_a._a_at").alias("position"), F.col("_a._a_hash").alias("hash"))
+
+
+def as_text(anchors_of: str) -> Column:
+    """Nine hexadecimal digits for each anchor: its hash and its distance from the one before."""
+    at, x = f"{anchors_of}_at", f"{anchors_of}_hash"
+    return F.expr(f"array_join(transform({x}, (h, j) -> lower(concat(lpad(hex(h & 4294967295L), 8, '0'), hex({at}[j] - if(j > 0, {at}[greatest(j - 1, 0)], 0))))), '')")
 
 
-def as_text(fingerprint: Column) -> Column:
-    """Eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def links(anchors_of: str) -> Column:
+    """The distinct links between anchors in a row."""
+    at, x = f"{anchors_of}_at", f"{anchors_of}_hash"
+    return F.expr(f"CASE WHEN size({x}) < 2 THEN {x} ELSE array_distinct(transform(sequence(0, size({x}) - 2), j -> xxhash64({x}[j], {at}[j + 1] - {at}[j], {x}[j + 1]))) END")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The Jaccard similarity of two sets of anchors."""
+    """The Jaccard similarity of two sets of links."""
     both = f"size(array_intersect({a}, {b}))"
     return F.expr(f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE {both} / cast(size({a}) + size({b}) - {both} AS double) END")
 
 
-def sketch(all_anchors: str) -> Column:
-    """The fingerprint's hashes."""
-    return F.slice(F.array_sort(F.array_distinct(F.expr(f"transform({all_anchors}, x -> cast(x & {MASK} AS int))"))), 1, SIZE)
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (as text) of every document."""
     ship(docs.sparkSession)
-    return _with_anchors(docs.select("doc_id", "text"), "text", "_all").select("doc_id", as_text(sketch("_all")).alias("fingerprint"))
+    return _with_anchors(docs.select("doc_id", "text"), "text", "_a").select("doc_id", as_text("_a").alias("fingerprint"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _key(doc_id: str, h: str, to: str) -> list[Column]:
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, and its anchors against those of its edited text and of the next document.
+    """Each document's fingerprint, and its likeness to its edited text and to the next document.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document.
     """
@@ -115,10 +115,10 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     edited = F.expr("substring(text, 1, cast(length(text) - length(text) div 2 AS int)) || substring(x_text, 1, cast(length(text) div 2 AS int))")
     doc_id = F.when(~F.col("none"), F.col("id"))
     both = texts.join(sent, [F.col(c) == F.col(f"y_{c}") for c in names]).select(doc_id.alias("doc_id"), n.cast("long").alias("n_chars"), "text", "x_text", edited.alias("edited"))
-    for text, out in (("text", "y_all"), ("edited", "e_all"), ("x_text", "x_all")):
-        both = _with_anchors(both, text, out)
+    for text, out in (("text", "y"), ("edited", "e"), ("x_text", "x")):
+        both = _with_anchors(both, text, out).withColumn(f"{out}_links", links(out))
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(sketch("y_all")).alias("fingerprint"), as_text(sketch("e_all")).alias("edited_fingerprint"), likeness("y_all", "e_all").alias("near_edited"), likeness("y_all", "x_all").alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text("y").alias("fingerprint"), as_text("e").alias("edited_fingerprint"), likeness("y_links", "e_links").alias("near_edited"), likeness("y_links", "x_links").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
