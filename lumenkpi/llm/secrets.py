@@ -1,8 +1,13 @@
 """Secret scanning over an incremental ledger of content-addressed blobs, with DataFrame operations only.
 
 Every version of every path is addressed by the SHA-256 of its content.  The ledger, a Parquet table that is appended
-to, says which blob was scanned with which version of which rule and what was found.  An update scans each blob that
-holds an unseen pair once, however many paths and versions hold it; findings are joined back to all of them.
+to, says which blob was scanned with which version of which rule, by which update, and what was found.  An update scans
+each blob that holds an unseen pair once, for its unseen pairs only, however many paths and versions hold it; findings
+are joined back to all of them.
+
+The registered query takes two updates of one ledger: first the documents of the lower half of ids with the base rules,
+then all documents with the base and the added rules.  The second scans what the first has scanned for the added rules
+only, and all other blobs for all rules.
 
 A rule is a regular expression with the least length of one of its groups.  Matches are taken leftmost and without
 overlap; those whose group is too short are dropped after matching.  Places are code points, ends exclusive: the pieces
@@ -15,14 +20,13 @@ their names; long texts are scanned whole.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkpi.llm.shared import fold, shared_dir, ship, table, unfold
+from lumenkpi.llm.shared import fold, scratch, ship, table, unfold, write
 
 
 @dataclass(frozen=True)
@@ -46,8 +50,13 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Kinds beside the base ones; their findings are listed in ``spans`` too.
+ADDED = (
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+)
 #: Says quickly that a text has no finding; a rule without an entry is tried on every text.
-HINTS = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""}
+HINTS = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "jwt": r"eyJ[A-Za-z0-9_-]+\.", "pem": r"-----BEGIN ", "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""}
 
 _FOUND = "array<struct<start:int,kind:int,stop:int,rule:string>>"
 
@@ -88,21 +97,25 @@ class BlobLedger:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def entries(self) -> DataFrame:
-        """blob, scanned (rule keys), found: a row for each update that scanned the blob."""
-        return self.spark.read.schema(f"blob string, scanned array<string>, found {_FOUND}").parquet(self.path)
+        """blob, number (of the update), scanned (rule keys), found: a row for each update that scanned the blob."""
+        return self.spark.read.schema(f"blob string, number int, scanned array<string>, found {_FOUND}").parquet(self.path)
+
+    def update(self, versions: DataFrame, content: str = "content", number: int | None = None) -> None:
+        """Scan what has not been scanned: each unseen blob and rule-version pair of ``versions`` once.
 
-    def update(self, versions: DataFrame, content: str = "content") -> None:
-        """Scan what has not been scanned: each unseen blob and rule-version pair of ``versions`` once."""
+        Updates are numbered on from the last that scanned anything, if ``number`` is not given.
+        """
         blobs = versions.select(blob_id(F.col(content)).alias("blob"), F.coalesce(content, F.lit("")).alias("_text")).dropDuplicates(["blob"])
         keys = F.array(*[F.lit(r.key) for r in self.rules])
         if self._exists():
+            number = number or (self.entries().agg(F.max("number")).first()[0] or 0) + 1
             seen = self.entries().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("_seen"))  # one entry per rule version
             blobs = blobs.join(seen.withColumnRenamed("blob", "_blob"), F.col("blob") == F.col("_blob"), "left").withColumn("due", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>")))).where(F.size("due") > 0)
             found = [F.when(F.array_contains("due", r.key), rule_findings("_text", r, i)).otherwise(F.expr(f"cast(array() AS {_FOUND})")) for i, r in enumerate(self.rules)]
         else:
             blobs = blobs.withColumn("due", keys)
             found = [rule_findings("_text", r, i) for i, r in enumerate(self.rules)]
-        blobs.select("blob", F.col("due").alias("scanned"), F.concat(*found).alias("found")).write.mode("append").parquet(self.path)
+        write(blobs.select("blob", F.lit(number or 1).alias("number"), F.col("due").alias("scanned"), F.concat(*found).alias("found")), self.path, "append")
 
     def findings(self) -> DataFrame:
         """blob and the findings of the current rules in it, by place, then rule; only blobs that have any."""
@@ -123,24 +136,38 @@ class BlobLedger:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id`` and ``found`` of every document, through a ledger of its own in the shared folder."""
     spark = docs.sparkSession
-    ledger = BlobLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", rules)
+    ledger = BlobLedger(spark, scratch(spark, "ledger"), rules)
     ledger.update(docs, "text")
     return ledger.report(docs, "doc_id", "text").withColumnRenamed("path", "doc_id")
 
 
+def scan_twice(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``found``, ``first_update`` (which scanned the content first) and ``scanned_last`` (the number of rules
+    that the second update scanned it for), from two deliveries to one ledger: see above."""
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "ledger")
+    half = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    BlobLedger(spark, path).update(docs.where(F.col("doc_id") * 2 <= half), "text", 1)
+    ledger = BlobLedger(spark, path, (*RULES, *ADDED))
+    ledger.update(docs, "text", 2)
+    entries = ledger.entries().groupBy(F.col("blob").alias("_b")).agg(F.min("number").alias("first_update"), F.max(F.when(F.col("number") == 2, F.size("scanned"))).alias("scanned_last"), F.flatten(F.collect_list("found")).alias("_found"))  # an entry per update
+    rows = docs.select(F.col("doc_id"), blob_id("text").alias("_blob")).join(entries, F.col("_blob") == F.col("_b"))
+    return rows.select("doc_id", F.array_sort("_found").alias("found"), "first_update", "scanned_last")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digest and list of the secrets in every document."""
-    found = scan(table(spark, sf_dir, "documents"))
-    kinds = F.array(*[F.lit(r.kind) for r in RULES])
-    listed = F.concat_ws(",", F.transform("found", lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"].cast("string"), x["stop"].cast("string"))))
+    """Counts, digest and list of the secrets in every document, and what the second update had to scan."""
+    found = scan_twice(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(r.kind) for r in (*RULES, *ADDED)])
+    listed = lambda x: F.concat_ws(",", F.transform(x, lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"].cast("string"), x["stop"].cast("string"))))
     counts = [F.expr(f"cast(size(filter(found, x -> x.kind = {i})) AS long) AS n_{r.kind}") for i, r in enumerate(RULES)]
-    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+    base = F.filter("found", lambda x: x["kind"] < len(RULES))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "first_update", "scanned_last")
 
 
 def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``marker`` (overlapping ones by one); all columns kept."""
     spark = docs.sparkSession
-    ledger = BlobLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger = BlobLedger(spark, scratch(spark, "ledger"), (*RULES, *ADDED))
     ledger.update(docs, "text")
     found = ledger.findings().select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
     clean = f"""if(_found IS NULL, text, aggregate(_found, struct(0 AS at, '' AS kept),
@@ -154,14 +181,15 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
 
 def _oracle() -> str:
     """The same in DuckDB, scanning every document on its own."""
-    parts = []
-    for i, r in enumerate(RULES):
+    parts, rules = [], (*RULES, *ADDED)
+    for i, r in enumerate(rules):
         p = r.pattern.replace("'", "''")
         parts.append(f"""
     SELECT doc_id, t, {i} AS kind, '{r.kind}' AS name, unnest(range(1, len(m) + 1)) AS i, m, g, p
     FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS g, regexp_split_to_array(t, '{p}') AS p FROM d)
     WHERE len(m) > 0""")
-    lengths = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(RULES))
+    lengths = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(rules))
+    base = len(RULES)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 a AS ({" UNION ALL ".join(parts)}),
@@ -169,10 +197,13 @@ b AS (SELECT doc_id, kind, name, length(g[i]) AS n, length(m[i]) AS size,
              length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS start FROM a),
 c AS (SELECT *, start + size AS stop FROM b WHERE n >= CASE kind {lengths} END),
 e AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM c GROUP BY doc_id)
+             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+             string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {base}) AS base FROM c GROUP BY doc_id),
+f AS (SELECT DISTINCT t FROM d WHERE doc_id * 2 <= (SELECT max(doc_id) FROM d))
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN e USING (doc_id)"""
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CASE WHEN f.t IS NULL THEN 2 ELSE 1 END AS first_update, CASE WHEN f.t IS NULL THEN {len(rules)} ELSE {len(ADDED)} END AS scanned_last
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN f ON f.t = d.t"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_secrets": op5_secrets}
