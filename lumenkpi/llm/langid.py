@@ -1,6 +1,7 @@
 """Language identification of mixed-language text.
 
-A word's script narrows its languages to those that were seen in that script; each candidate gets the word's score
+A word's script narrows its languages to those with at least ``SCRIPT_SHARE`` of their training words in it (so that a
+foreign name in a text does not count; all languages, if none has); each candidate gets the word's score
 under a character n-gram model; Viterbi over the words of a text, with a penalty for switching languages, labels spans.
 A document's language is the one whose spans hold most letters, its score that share of the letters.
 
@@ -29,6 +30,7 @@ from lumenkpi.llm.shared import ship, table
 ORDERS, BITS = 4, 16
 BUCKETS = 1 << BITS
 MAX_DOCS = 3000
+SCRIPT_SHARE = 0.01
 SWITCH_PENALTY = 10.0
 UNDETERMINED = "und"
 
@@ -216,8 +218,11 @@ def _train_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
     return found.groupBy("kind", "language", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5) -> Model:
-    """Fit on labelled rows (``lang``, ``text``), about ``max_docs`` of each language at most."""
+def train(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5, script_share: float = SCRIPT_SHARE) -> Model:
+    """Fit on labelled rows (``lang``, ``text``), about ``max_docs`` of each language at most.
+
+    A language is a candidate for a script if at least ``script_share`` of its training words are in it.
+    """
     ship(labelled.sparkSession)
     labelled = labelled.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -235,7 +240,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS, smoothing: float = 0.5)
     part = rows[rows.kind == ORDERS]
     scripts[part.language, part.bucket] = part.n
     logs = np.log((counts + smoothing) / (counts.sum(axis=2, keepdims=True) + smoothing * BUCKETS))
-    candidates = (scripts >= 0.01 * np.maximum(scripts.sum(axis=1, keepdims=True), 1)).T & (scripts.T > 0)
+    candidates = (scripts >= script_share * np.maximum(scripts.sum(axis=1, keepdims=True), 1)).T & (scripts.T > 0)
     candidates[~candidates.any(axis=1)] = True
     return Model(languages, np.ascontiguousarray(logs.transpose(0, 2, 1) / ORDERS).astype(np.float32), candidates)
 
