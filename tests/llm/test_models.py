@@ -118,13 +118,39 @@ def test_kth_largest_is_exact(spark):
     assert Q.kth_largest(rows, "v", 501) is None and Q.kth_largest(rows, "v", 0) == float("inf")
 
 
-def test_gumbel_top_k_draws_in_proportion_to_weights(spark):
+def test_gumbel_noise_has_its_moments(spark):
     ratio = np.zeros(Q.BUCKETS)
     docs = spark.createDataFrame([(i, f"w{i}") for i in range(4000)], "doc_id long, text string")
     keys = Q.weigh(docs, ratio, temperature=1.0).toPandas().key.to_numpy()
     assert abs(keys.mean() - 0.5772) < 0.1 and abs(keys.var() - np.pi**2 / 6) < 0.25
 
 
+def test_gumbel_top_k_draws_in_proportion_to_weights(spark):
+    ratio = np.zeros(Q.BUCKETS)
+    data = np.frombuffer(b"light" + b"heavy", np.uint8)
+    light, heavy = (int(x) % Q.BUCKETS for x in K.run_hashes(data, np.array([0, 5]), np.array([5, 10])))
+    assert light != heavy
+    ratio[heavy] = np.log(3.0)
+    docs = spark.createDataFrame([(i, "heavy" if i % 2 else "light") for i in range(8000)], "doc_id long, text string")
+    weights = Q.weigh(docs, ratio, temperature=1.0)
+    assert weights.where("log_weight > 0").count() == 4000
+    bound = Q.kth_largest(weights, "key", 400)
+    drawn = weights.where(F.col("key") >= bound)
+    assert drawn.count() == 400 and abs(drawn.where("log_weight > 0").count() / 400 - 0.75) < 0.07  # few of many: 3 to 1
+    low = Q.weigh(docs, ratio, temperature=0.01)
+    assert low.where(F.col("key") >= Q.kth_largest(low, "key", 400)).where("log_weight > 0").count() == 400
+
+
+def test_a_draw_that_ends_in_a_tie_keeps_all_of_it(spark, docs_of):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    texts = ["good words", "%% ##", "good words", "good words", "## %%", ""]
+    rows = Q.resample(docs_of(texts, [1, 2, 1, 1, 2, 3]), labels, k=2).collect()
+    kept = [r.kept for r in rows if r.doc_id == 1]
+    assert all(kept) or not any(kept)
+    keys = sorted((r.key for r in rows), reverse=True)
+    assert {r.kept for r in rows if r.key >= keys[1]} == {True} and not any(r.kept for r in rows if r.key < keys[1])
+
+
 def test_quality_edge_cases(spark, docs_of):
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
     texts = ["fine words here", "fine words there", "%% && ##", "## $$ %%", None, "", "fine words here", "x " * 100_000]

@@ -127,36 +127,47 @@ def pair_hash(*values):
     return seed
 
 
-def plain_fingerprint(text):
-    h = [spark_hash(w) for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+def plain_anchors(text):
+    """(first word, hash) of the anchors."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    h = [spark_hash(x) for w in words for x in (w if len(w) > M.LONG else [w])]
     if not h:
         return []
     if len(h) < M.K:
         total = 0
         for x in h:
             total = pair_hash(total, x)
-        return [total & M.MASK]
+        return [(0, total)]
     g = [pair_hash(a, b) for a, b in zip(h, h[1:], strict=False)]
-    out = set()
+    out = []
     for i in range(len(h) - M.K + 1):
         inner = g[i : i + M.K - M.S + 1]
         if min(inner) in (inner[0], inner[-1]):
-            out.add(pair_hash(g[i], g[i + 2], h[i + 4]) & M.MASK)
-    return sorted(out)[: M.SIZE]
+            out.append((i, pair_hash(g[i], g[i + 2], h[i + 4])))
+    return out
+
+
+def plain_text(anchors):
+    return "".join(f"{h % (1 << 32):08x}{p - q:x}" for (p, h), q in zip(anchors, [0, *[p for p, _ in anchors]], strict=False))
+
+
+def plain_links(anchors):
+    if len(anchors) < 2:
+        return {h for _, h in anchors}
+    gap_hash = lambda a, gap, b: spark_hash(b, xxhash.xxh64_intdigest(gap.to_bytes(4, "little", signed=True), spark_hash(a) % (1 << 64)))
+    return {gap_hash(a, q - p, b) for (p, a), (q, b) in zip(anchors, anchors[1:], strict=False)}
 
 
 def plain_likeness(a, b):
     if a == b:
         return 1.0
-    if not a or not b:
-        return 0.0
-    least = set(sorted(set(a) | set(b))[: M.SIZE])
-    return len(least & set(a) & set(b)) / len(least)
+    return len(a & b) / len(a | b)
 
 
 def test_fingerprints_against_plain_loops(docs_of):
     rnd = random.Random(5)
-    texts = [" ".join(f"w{rnd.randint(0, 60)}" for _ in range(rnd.randint(0, 90))) for _ in range(40)] + [None, "", "one two", "é" * 11, "a b c d e", "x y " * 4000]
+    solid = ["".join(chr(rnd.randint(0x4E00, 0x4E40)) for _ in range(n)) for n in (65, 400, 400)]
+    texts = [" ".join(f"w{rnd.randint(0, 60)}" for _ in range(rnd.randint(0, 90))) for _ in range(40)] + [None, "", "one two", "é" * 11, "a b c d e", "x y " * 4000, *solid, f"a {solid[1]} b", solid[2][:200] + solid[1][200:]]
     ids = [i * 37 % 101 for i in range(len(texts))]
     rows = {r.doc_id: r for r in M.compare_edited(docs_of(texts, ids)).collect()}
     by_id = {i: t or "" for i, t in zip(ids, texts, strict=True)}
@@ -166,9 +177,10 @@ def test_fingerprints_against_plain_loops(docs_of):
         n = len(text) // 2
         edited = text[: len(text) - n] + after[:n]
         r = rows[i]
-        mine, new, other = (plain_fingerprint(t) for t in (text, edited, after))
+        mine, new, other = (plain_anchors(t) for t in (text, edited, after))
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == "".join(f"{x:08x}" for x in mine) and r.edited_fingerprint == "".join(f"{x:08x}" for x in new)
+        assert r.fingerprint == plain_text(mine) and r.edited_fingerprint == plain_text(new)
+        mine, new, other = map(plain_links, (mine, new, other))
         assert r.near_edited == plain_likeness(mine, new) and r.near_next == plain_likeness(mine, other)
 
 
@@ -191,17 +203,20 @@ def test_one_document_repeated_rows_and_none(docs_of):
     assert len(rows) == 4 and len({r.fingerprint for r in rows if r.doc_id == 1}) == 1
 
 
-def test_likeness_of_long_texts_is_exact(docs_of, monkeypatch):
+def test_likeness_of_long_texts_is_exact_and_by_position(docs_of):
     rnd = random.Random(9)
     words = [[f"w{rnd.random()}" for _ in range(3000)] for _ in range(2)]
-    texts = [" ".join(words[0]), " ".join(words[1][:1700] + words[0][:1300])]
+    shuffled = [x for k in rnd.sample(range(0, 3000, 6), 500) for x in words[0][k : k + 6]]  # most anchors, in another order
+    texts = [" ".join(words[0]), " ".join(words[1][:1700] + words[0][:1300]), " ".join(shuffled)]
     rows = {r.doc_id: r for r in M.compare_edited(docs_of(texts)).collect()}
-    assert {len(r.fingerprint) for r in rows.values()} == {8 * M.SIZE}
-    monkeypatch.setattr(M, "SIZE", 10**9)  # of the plain loops below
-    a, b = (set(plain_fingerprint(t)) for t in texts)
-    assert len(a & b) > 500 and {r.near_next for r in rows.values()} == {len(a & b) / len(a | b)}
+    anchors = [plain_anchors(t) for t in texts]
+    assert all(rows[i].fingerprint == plain_text(anchors[i]) and len(anchors[i]) > 1000 for i in rows)
+    a, b, c = map(plain_links, anchors)
+    assert len(a & b) > 500 and rows[1].near_next == len(a & b) / len(a | b)
+    same = [{h for _, h in x} for x in (anchors[0], anchors[2])]
+    assert rows[0].near_next == len(a & c) / len(a | c) < 0.5 * len(same[0] & same[1]) / len(same[0] | same[1])
     n = len(texts[0]) // 2
-    new = set(plain_fingerprint(texts[0][: len(texts[0]) - n] + texts[1][:n]))
+    new = plain_links(plain_anchors(texts[0][: len(texts[0]) - n] + texts[2][:n]))
     assert rows[0].near_edited == len(a & new) / len(a | new)
 
 
