@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import tomllib
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from pathlib import Path
@@ -71,34 +73,6 @@ class Config:
 _PLACES = {("app", "granularity_minutes"): "granularity_minutes", ("app", "min_clean_days"): "min_clean_days", ("app", "zscore_threshold"): "z_threshold", ("app", "timezone"): "timezone", ("database", "url"): "database_url", ("logging", "level"): "log_level"}
 
 
-def _scalar(text: str) -> object:
-    text = text.strip()
-    if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
-    if text.lower() in ("true", "false"):
-        return text.lower() == "true"
-    return int(text) if re.fullmatch(r"[+-]?\d+", text) else text
-
-
-def parse_settings(text: str) -> dict:
-    """Nested ``key: value`` lines, two spaces a level, ``#`` comments; scalars are strings, booleans and integers."""
-    root: dict = {}
-    stack = [root]
-    for n, line in enumerate(text.splitlines(), 1):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        indent = len(line) - len(line.lstrip(" "))
-        key, colon, value = line.strip().partition(":")
-        if indent % 2 or indent // 2 >= len(stack) or not colon or not key:
-            raise InvalidInput(f"settings line {n} cannot be read", line=n)
-        del stack[indent // 2 + 1 :]
-        if value.strip():
-            stack[-1][key.strip()] = _scalar(value)
-        else:
-            stack.append(stack[-1].setdefault(key.strip(), {}))
-    return root
-
-
 def from_mapping(tree: Mapping) -> Config:
     """A Config from a settings tree; unknown keys are rejected."""
     found: dict[str, object] = {}
@@ -123,13 +97,28 @@ def from_mapping(tree: Mapping) -> Config:
 
 
 def load(path: str | Path | None = None, env: Mapping[str, str] | None = None) -> Config:
-    """Settings of a file (defaults without one), overridden by variables such as ``LUMENKPI_APP__MIN_CLEAN_DAYS``."""
-    tree = parse_settings(Path(path).read_text("utf-8")) if path else {}
-    for name, value in sorted((os.environ if env is None else env).items()):
-        if name.startswith(ENV_PREFIX):
-            *above, key = name[len(ENV_PREFIX) :].lower().split("__")
-            at = tree
-            for part in above:
-                at = at.setdefault(part, {})
-            at[key] = _scalar(value)
+    """Settings of a TOML or JSON file (defaults without one).
+
+    A variable named after a setting's place, such as ``LUMENKPI_APP__MIN_CLEAN_DAYS``, goes before the file; its value is
+    read as JSON where it is JSON (so day periods can be given too), else as text.
+    """
+    tree: dict[str, dict] = {}
+    if path:
+        text = Path(path).read_text("utf-8")
+        try:
+            tree = json.loads(text) if str(path).endswith(".json") else tomllib.loads(text)
+        except ValueError as e:
+            raise InvalidInput(f"{path} cannot be read: {e}", source=str(path)) from e
+    given = os.environ if env is None else env
+    places = {f"{ENV_PREFIX}{section}__{key}".upper(): (section, key) for section, key in [*_PLACES, ("app", "day_periods")]}
+    unknown = sorted(name for name in given if name.startswith(ENV_PREFIX) and name not in places)
+    if unknown:
+        raise InvalidInput(f"unknown setting {unknown[0]}", found=unknown)
+    for name in places.keys() & given.keys():
+        section, key = places[name]
+        try:
+            value = json.loads(given[name])
+        except ValueError:
+            value = given[name]
+        tree[section] = {**tree.get(section, {}), key: value}
     return from_mapping(tree)

@@ -19,11 +19,22 @@ def test_gap_overlap_and_empty_periods_are_rejected():
 
 
 def test_settings_text_environment_and_unknown_keys(tmp_path):
-    f = tmp_path / "settings.yaml"
-    f.write_text("app:\n  granularity_minutes: 30\n  zscore_threshold: '2.5'\n  day_periods:\n    busy:\n      start: '08:00'\n      end: '09:00'\n    transition:\n      start: '09:00'\n      end: '10:00'\n    off_peak:\n      start: '10:00'\n      end: '08:00'\n")
+    f = tmp_path / "settings.toml"
+    f.write_text("[app]\ngranularity_minutes = 30\nzscore_threshold = '2.5'\n[app.day_periods]\nbusy = {start = '08:00', end = '09:00'}\ntransition = {start = '09:00', end = '10:00'}\noff_peak = {start = '10:00', end = '08:00'}\n")
     c = config.load(f, {"LUMENKPI_APP__MIN_CLEAN_DAYS": "7", "OTHER": "x"})
     assert (c.granularity_minutes, c.z_threshold, c.min_clean_days) == (30, 2.5, 7)
     assert c.day_periods[0].start == 8 * 3600
+    j = tmp_path / "settings.json"
+    j.write_text('{"database": {"url": "x"}}')
+    periods = '{"busy": {"start": "00:00", "end": "09:00"}, "transition": {"start": "09:00", "end": "10:00"}, "off_peak": {"start": "10:00", "end": "00:00"}}'
+    c = config.load(j, {"LUMENKPI_APP__DAY_PERIODS": periods, "LUMENKPI_LOGGING__LEVEL": "DEBUG"})
+    assert (c.database_url, c.log_level, c.day_periods[0].end) == ("x", "DEBUG", 9 * 3600)
+    for bad in ({"LUMENKPI_APP__NOPE": "1"}, {"LUMENKPI_APP__MIN_CLEAN_DAYS": "many"}):
+        with pytest.raises(InvalidInput):
+            config.load(None, bad)
+    j.write_text("{")
+    with pytest.raises(InvalidInput):
+        config.load(j, {})
     with pytest.raises(InvalidInput):
         config.from_mapping({"app": {"nope": 1}})
     with pytest.raises(InvalidInput):

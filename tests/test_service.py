@@ -1,10 +1,7 @@
 import datetime as dt
-import json
-import logging
 
 import pytest
 
-from lumenkpi import logs
 from lumenkpi.errors import Conflict, InvalidInput, NotFound
 from lumenkpi.service import Engine
 
@@ -80,10 +77,3 @@ def test_rules_and_health(engine):
     with pytest.raises(Conflict):
         engine.store.append(engine.store.read("network_elements"), "network_elements")
     assert engine.health()["status"] == "ok"
-
-
-def test_log_lines():
-    assert logs.start_request("abc") == "abc"
-    line = logs.JsonFormatter().format(logging.LogRecord("x", 20, "f", 1, "the Password is %s", ("y",), None))
-    assert json.loads(line)["message"] == "[REDACTED]" and json.loads(line)["correlation_id"] == "abc"
-    assert json.loads(logs.JsonFormatter().format(logging.LogRecord("x", 20, "f", 1, "fine", (), None)))["message"] == "fine"
