@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +18,7 @@ from lumenkpi.errors import InvalidInput
 
 COLUMNS = ("timestamp", "period_end", "ne_id", "kpi_name", "value", "unit", "quality_flag")
 KEY = ["ne_id", "kpi_name", "start_time"]
-RAW = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
+RAW = T.StructType([T.StructField("row_index", T.LongType()), T.StructField("line", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("source", *COLUMNS)]])
 #: A timestamp must say its offset.
 OFFSET = r"(?i)^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})\s*$"
 
@@ -29,32 +33,103 @@ def check_header(names: list[str], source: str) -> None:
         raise CsvError(f"{source}: missing columns {', '.join(missing)}", source=source, missing=missing)
 
 
-def parse_bytes(spark: SparkSession, payload: bytes, source: str = "upload") -> DataFrame:
-    """Raw rows (texts, with ``row_index``) of a small CSV that is at hand, such as an upload.
-
-    UTF-8 with or without a mark; blank rows are skipped, extra columns ignored.
-    """
+def _records_of(payload: bytes, source: str) -> Iterator[tuple]:
+    """(row_index, line, source, *COLUMNS) of a CSV that is at hand; lines are records, the header being line 1."""
     try:
         text = payload.decode("utf-8-sig")
     except UnicodeDecodeError as e:
         raise CsvError(f"{source}: not UTF-8", source=source) from e
-    reader = csv.DictReader(io.StringIO(text))
+    reader = csv.DictReader(io.StringIO(text, newline=""))
     check_header(list(reader.fieldnames or []), source)
-    rows = [tuple(r.get(c) for c in COLUMNS) for r in reader if any((v or "").strip() for v in r.values() if isinstance(v, str))]
-    schema = T.StructType([T.StructField("row_index", T.LongType()), *RAW.fields])
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+    for i, r in enumerate(reader):
+        if any((v or "").strip() for v in r.values() if isinstance(v, str)):
+            yield i, i + 2, source, *(r.get(c) for c in COLUMNS)
+
+
+def parse_bytes(spark: SparkSession, payload: bytes, source: str = "upload") -> DataFrame:
+    """Raw rows (texts, with ``row_index``, ``line`` and ``source``) of a small CSV that is at hand, such as an upload.
 
+    UTF-8 with or without a mark; blank rows are skipped, extra columns ignored.
+    """
+    return spark.createDataFrame(list(_records_of(payload, source)), RAW)
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of CSV files of any size, read in parallel; ``row_index`` orders the rows of a file in it.
 
-    Quoted line breaks are read, so a single file is one task; give large inputs as many files.
+def read_files(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw rows of CSV files of any size and number, as :func:`parse_bytes` gives them for one.
+
+    Every file must be UTF-8 and have the columns, in an order of its own; the first file at fault is raised.  ``line`` is
+    the record's number in its file, ``row_index`` its number over all files in the order of their paths.  Files are read
+    in blocks, in parallel; a first pass takes a row per block (records before it, header, undecodable lines), so no
+    record is moved to be numbered.  With ``multi_line`` quoted fields may hold line breaks, and a file is one task.
     """
-    head = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
-    names = [c.lstrip("﻿") for c in head.columns]
-    check_header(names, path)
-    rows = head.toDF(*names).select(*COLUMNS, F.monotonically_increasing_id().alias("row_index"))
-    return rows.where(F.trim(F.concat_ws("", *COLUMNS)) != "").select("row_index", *COLUMNS)
+    if multi_line:
+        return _read_whole(spark, path)
+    at = F.col("_metadata.file_path").alias("source")
+    lines = spark.read.text(path).where("value <> ''").select(at, F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("source", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min_by("value", "id").alias("head"), F.count_if(~F.expr("is_valid_utf8(value)")).alias("odd"))
+    heads = blocks.groupBy("source").agg(F.regexp_replace(F.min_by("head", "block"), "^\ufeff", "").alias("head"), F.sum("odd").alias("odd"))
+    heads = _listed(spark, path).join(heads, "source", "left")
+    odd = heads.where("odd > 0").select("source").orderBy("source").first()
+    if odd is not None:
+        raise CsvError(f"{odd.source}: not UTF-8", source=odd.source)
+    width = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    heads = heads.select("source", _fields(F.coalesce("head", F.lit("")), width).alias("header"))
+    bad = heads.where(F.size(F.array_except(F.array(*[F.lit(c) for c in COLUMNS]), "header")) > 0).orderBy("source").first()
+    if bad is not None:
+        check_header(list(bad.header), bad.source)
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("source", "block", "first", before("source", ["block"]).alias("_in_file"), before(["source", "block"]).alias("_in_all"))  # a row per block
+    starts = starts.withColumn("_in_all", F.col("_in_all") - F.dense_rank().over(Window.orderBy("source")))  # headers are no records
+    rows = lines.join(starts.join(heads, "source"), ["source", "block"]).withColumn("_n", F.col("id") - F.col("first"))
+    rows = rows.where("_in_file + _n > 0").withColumn("_fields", _fields(F.col("value"), width))
+    rows = rows.where(F.exists("_fields", lambda x: F.trim(x) != ""))
+    place = lambda c: F.expr(f"try_element_at(_fields, cast(size(header) + 1 - array_position(reverse(header), '{c}') AS int))")
+    return rows.select((F.col("_in_all") + F.col("_n")).alias("row_index"), (F.col("_in_file") + F.col("_n") + 1).alias("line"), "source", *[place(c).alias(c) for c in COLUMNS])
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The files to be read as ``source``, also empty ones, which no scan shows."""
+    names = [re.sub("^file:/+", "file:/", f) for f in spark.read.text(path).inputFiles()]  # the driver lists them in any case
+    return spark.createDataFrame([(n,) for n in names], "source string")
+
+
+def _fields(line: Column, width: int) -> Column:
+    """The fields of a CSV line, ``width`` at most."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(line, schema, {"escape": '"', "mode": "PERMISSIVE"})
+    return F.transform(F.array(*[parsed[f"c{i}"] for i in range(width)]), lambda x: F.coalesce(x, F.lit("")))
+
+
+def _read_whole(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*RAW.fields, T.StructField("problem", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = _records_of(payload, source)
+                while True:
+                    try:
+                        part = list(itertools.islice(rows, 4096))
+                    except CsvError as e:
+                        yield pa.RecordBatch.from_pylist([{"source": source, "problem": str(e)}], arrow)
+                        break
+                    if not part:
+                        break
+                    yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=False)) for r in part], arrow)
+
+    arrow = pa.schema([pa.field(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in schema])
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("source"), "content")
+    empty = _listed(spark, path).join(files.select("source"), "source", "left_anti").orderBy("source").first()
+    if empty is not None:
+        check_header([], empty.source)
+    found = files.mapInArrow(run, schema)
+    bad = found.where("problem IS NOT NULL").select("source", "problem").orderBy("source").first()
+    if bad is not None:
+        raise CsvError(bad.problem, source=bad.source)
+    sizes = found.groupBy("source").agg(F.max("row_index").alias("n"))
+    base = sizes.select(F.col("source").alias("_s"), F.coalesce(F.sum(F.col("n") + 1).over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row per file
+    rows = found.join(base, F.col("source") == F.col("_s"))
+    return rows.select((F.col("_base") + F.col("row_index")).alias("row_index"), *RAW.names[1:])
 
 
 def _instant(text: str) -> Column:
@@ -96,10 +171,15 @@ def rejects(validated: DataFrame) -> DataFrame:
 
 
 def parse(validated: DataFrame, source: str = "input") -> DataFrame:
-    """The records if every row is usable; else the first unusable row is raised (line 2 is the first row)."""
-    bad = validated.where(F.size("errors") > 0).orderBy("row_index").select("row_index", "errors").first()
+    """The records if every row is usable; else the first unusable row is raised, with its file and line.
+
+    Without a ``line`` column rows count from line 2 on.
+    """
+    line = F.col("line") if "line" in validated.columns else F.col("row_index") + 2
+    at = F.col("source") if "source" in validated.columns else F.lit(source)
+    bad = validated.where(F.size("errors") > 0).orderBy("row_index").select(line.alias("line"), at.alias("source"), "errors").first()
     if bad is not None:
-        raise CsvError(f"invalid CSV row at line {bad.row_index + 2}", source=source, line=bad.row_index + 2, columns=list(bad.errors))
+        raise CsvError(f"{bad.source}: invalid CSV row at line {bad.line}", source=bad.source, line=bad.line, columns=list(bad.errors))
     return records(validated)
 
 
