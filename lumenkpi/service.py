@@ -28,20 +28,22 @@ class Engine:
 
     # ------------------------------------------------------------ records
 
-    def import_csv(self, payload: bytes | str, source: str = "upload") -> kpi_csv.Imported:
-        """Import an upload (bytes) or files (a path); all rows are checked before any is stored."""
-        raw = kpi_csv.parse_bytes(self.spark, payload, source) if isinstance(payload, bytes) else kpi_csv.read_files(self.spark, payload)
+    def import_csv(self, payload: bytes | str, source: str = "upload", multi_line: bool = False) -> kpi_csv.Imported:
+        """Import an upload (bytes) or files (a path); all rows are checked before any is stored.
+
+        Only the stored records of the days in the input are looked at for duplicates, once.
+        """
+        raw = kpi_csv.parse_bytes(self.spark, payload, source) if isinstance(payload, bytes) else kpi_csv.read_files(self.spark, payload, multi_line)
         rows = kpi_csv.parse(kpi_csv.validate(raw), source)
-        stored = self.store.read("kpi_records")
-        fresh, counts = kpi_csv.import_records(rows, stored)
+        fresh, counts = kpi_csv.import_records(rows, self.store.taken(rows, "kpi_records"))
         if counts.inserted:
             fresh = fresh.withColumn("id", F.xxhash64(*kpi_csv.KEY))
-            self.store.append(fresh, "kpi_records")
+            self.store.append(fresh, "kpi_records", new_keys=True)
         log.info("imported %s of %s rows", counts.inserted, counts.total)
         return counts
 
     def records(self, ne_id: str, kpi_name: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
-        return range_scan(self.store.read("kpi_records"), ne_id, kpi_name, start, end)
+        return range_scan(self.store.read("kpi_records", True), ne_id, kpi_name, start, end).select(*TABLES["kpi_records"].names)
 
     def quality_report(self, records: DataFrame, definitions: DataFrame | None = None, granularity_minutes: int | None = None, multiplier: float = 1.5, sentinels: Iterable[object] = ()) -> DataFrame:
         facts = self.store.read("kpi_definitions") if definitions is None else definitions
@@ -101,9 +103,9 @@ class Engine:
         events, definitions = self.store.read("impact_events"), self.store.read("kpi_definitions")
         chosen = self.spark.createDataFrame([(key, event["ne_id"], event["t1"], event["t2"])], "impact_id long, ne_id string, t1 timestamp, t2 timestamp")
         names = self.spark.createDataFrame([(key, k, i) for i, k in enumerate(kpi_names)], "impact_id long, kpi_name string, position int")
-        impact.require_definitions(names, definitions)
         records = self.store.read("kpi_records").where(F.col("ne_id") == event["ne_id"])
         deltas = impact.analyze(chosen, names, records, definitions, pre_hours, recovery_hours, post_hours, granularity_minutes, primary_test, alpha, self.config)
+        deltas = self.spark.createDataFrame(deltas.collect(), deltas.schema)  # computed once; a row for each indicator asked for
         label = impact.window_label(pre_hours, recovery_hours, post_hours)
         marked, analyses, rows = lifecycle.record_analysis(events, deltas, impact.summarise(chosen, deltas), label)
         done = self.store.read("impact_analyses")

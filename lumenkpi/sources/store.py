@@ -1,17 +1,25 @@
 """Tables as Parquet folders: append, replace, point and range reads, sorted listings.
 
-A replaced table is written beside the old one and a pointer file is switched last, so readers see either the old or the
-new rows and a failed write changes nothing; the version before stays until the next replacement, for readers that are
-still at it.  There is no atomicity across tables.
+A table is a list of segments, folders of Parquet files that are never changed.  Each change writes one new segment beside
+the others and then a new manifest, a small file with the next number, by renaming it into place; readers take the
+manifest of the highest number, so they see the old or the new rows whatever happens in between, and a failed write
+changes nothing.  The segments of the manifest before stay until the next change, for readers that are still at it.
+There is no atomicity across tables.
+
+A table that is laid out by date is changed by date: a row that is updated costs a rewrite of its date, and the older
+segments are read without that date from then on.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from lumenkpi.errors import Conflict, NotFound
 from lumenkpi.schemas import TABLES, UNIQUE, dangling, require
@@ -22,6 +30,8 @@ ORDERS = {
 }
 #: Large tables are laid out by this column, so that reads of a range skip files.
 PARTITION = {"kpi_records": "start_date"}
+#: After so many segments a change rewrites the table into one.
+MOST_SEGMENTS = 64
 KEYS = {"network_elements": "ne_id", "kpi_definitions": "kpi_name"}
 
 
@@ -35,62 +45,88 @@ class Store:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
-    def _versions(self, table: str) -> list[str]:
-        """The current version and, if there is one, that before."""
-        pointer = self._path(table, "_current")
-        if not self._fs.exists(pointer):
+    def _manifests(self, table: str) -> list[int]:
+        """The numbers of the manifests, the current one first."""
+        at = self._path(table)
+        if not self._fs.exists(at):
             return []
-        stream = self._fs.open(pointer)
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)]
+        return sorted((int(x.removeprefix("_manifest-")) for x in names if x.startswith("_manifest-")), reverse=True)
+
+    def _segments(self, table: str, number: int | None = None) -> list[dict]:
+        """The segments of a manifest (the current one): ``name`` and ``without``, the dates that newer ones replace."""
+        number = next(iter(self._manifests(table)), None) if number is None else number
+        if number is None:
+            return []
+        stream = self._fs.open(self._path(table, f"_manifest-{number}"))
         try:
-            return self.spark._jvm.org.apache.hadoop.io.Text.decode(bytearray(stream.readAllBytes())).split()
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _current(self, table: str) -> str | None:
-        return next(iter(self._versions(table)), None)
-
-    def _switch(self, table: str, name: str) -> None:
-        fresh = self._path(table, f"_{uuid.uuid4().hex}")
+    def _switch(self, table: str, segments: list[dict]) -> None:
+        """Make ``segments`` the table, and delete what neither it nor the manifest before needs."""
+        before = self._manifests(table)
+        fresh = self._path(table, f"_new-{uuid.uuid4().hex}")
         stream = self._fs.create(fresh)
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(json.dumps(segments).encode()))
         stream.close()
-        self._fs.delete(self._path(table, "_current"), False)
-        self._fs.rename(fresh, self._path(table, "_current"))
-
-    def read(self, table: str) -> DataFrame:
-        """All rows, in the table's columns."""
-        schema, name = TABLES[table], self._current(table)
-        if name is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{name}").select(*schema.names)
-
-    def _write(self, rows: DataFrame, table: str, name: str, mode: str) -> None:
-        schema = TABLES[table]
+        number = before[0] + 1 if before else 1
+        if self._fs.exists(self._path(table, f"_manifest-{number}")) or not self._fs.rename(fresh, self._path(table, f"_manifest-{number}")):
+            raise Conflict(f"{table} was changed at the same time", table=table)
+        needed = {x["name"] for n in (number, *before[:1]) for x in self._segments(table, n)}
+        for n in before[1:]:
+            for x in self._segments(table, n):
+                if x["name"] not in needed:
+                    self._fs.delete(self._path(table, x["name"]), True)
+            self._fs.delete(self._path(table, f"_manifest-{n}"), False)
+
+    def read(self, table: str, with_partition: bool = False) -> DataFrame:
+        """All rows, in the table's columns; also the column it is laid out by, if asked for, so that filters on it skip files."""
+        schema, by = TABLES[table], PARTITION.get(table)
+        names = [*schema.names, *([by] if by and with_partition else [])]
+        typed = StructType([*schema, *([StructField(by, DateType())] if by else [])])
+        parts: dict[tuple[str, ...], list[str]] = {}
+        for x in self._segments(table):
+            # a table laid out by a column is read segment by segment, as Spark takes one root of such folders at a time
+            parts.setdefault((x["name"] if by else "", *x["without"]), []).append(f"{self.root}/{table}/{x['name']}")
+        if not parts:
+            return self.spark.createDataFrame([], typed).select(*names)
+        frames = []
+        for (_, *without), paths in parts.items():
+            rows = self.spark.read.schema(typed).parquet(*paths)
+            frames.append((rows.where(~F.col(by).isin([dt.date.fromisoformat(d) for d in without])) if without else rows).select(*names))
+        return reduce(DataFrame.unionAll, frames)
+
+    def _write(self, rows: DataFrame, table: str) -> dict:
+        """A new segment."""
+        schema, name = TABLES[table], f"v-{uuid.uuid4().hex}"
         rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        if table in PARTITION:
-            rows = rows.withColumn(PARTITION[table], F.to_date("start_time"))
-            rows.write.mode(mode).partitionBy(PARTITION[table]).parquet(f"{self.root}/{table}/{name}")
-        else:
-            rows.write.mode(mode).parquet(f"{self.root}/{table}/{name}")
-
-    def append(self, rows: DataFrame, table: str) -> None:
-        """Add rows that keep the table's rules and whose keys are not taken."""
+        out = rows.withColumn(PARTITION[table], F.to_date("start_time")).write.partitionBy(PARTITION[table]) if table in PARTITION else rows.write
+        out.parquet(f"{self.root}/{table}/{name}")
+        return {"name": name, "without": []}
+
+    def taken(self, rows: DataFrame, table: str) -> DataFrame:
+        """The stored rows whose keys those of ``rows`` can meet: of a table laid out by date, those of the same days."""
+        if table not in PARTITION:
+            return self.read(table)
+        first, last = rows.agg(F.min(F.to_date("start_time")), F.max(F.to_date("start_time"))).first()
+        return self.read(table, True).where(F.col(PARTITION[table]).between(F.lit(first), F.lit(last)))
+
+    def append(self, rows: DataFrame, table: str, new_keys: bool = False) -> None:
+        """Add rows that keep the table's rules and whose keys are not taken (which is not checked again with ``new_keys``)."""
         require(rows, table)
-        if table in UNIQUE and rows.join(self.read(table).select(*UNIQUE[table]), list(UNIQUE[table]), "left_semi").first() is not None:
+        if table in UNIQUE and not new_keys and rows.join(self.taken(rows, table).select(*UNIQUE[table]), list(UNIQUE[table]), "left_semi").first() is not None:
             raise Conflict(f"{table}: a key is taken", table=table)
-        name = self._current(table) or f"v-{uuid.uuid4().hex}"
-        self._write(rows, table, name, "append")
-        if self._current(table) is None:
-            self._switch(table, name)
+        segments = [*self._segments(table), self._write(rows, table)]
+        self._switch(table, segments)
+        if len(segments) > MOST_SEGMENTS:
+            self._switch(table, [self._write(self.read(table), table)])
 
     def replace(self, rows: DataFrame, table: str) -> None:
         """Make ``rows`` the table; they may be computed from the table itself."""
         require(rows, table)
-        name, old = f"v-{uuid.uuid4().hex}", self._versions(table)
-        self._write(rows, table, name, "errorifexists")
-        self._switch(table, "\n".join([name, *old[:1]]))
-        for gone in old[1:]:
-            self._fs.delete(self._path(table, gone), True)
+        self._switch(table, [self._write(rows, table)])
 
     def get(self, table: str, key: object) -> dict:
         """The row of a primary key."""
@@ -112,11 +148,18 @@ class Store:
             raise NotFound(f"{target}: no row {bad[column]}", table=target, key=bad[column])
 
     def update(self, table: str, key: object, **changes: object) -> None:
-        """Set columns of one row."""
-        self.get(table, key)
-        here = F.col(KEYS.get(table, "id")) == key
-        rows = self.read(table)
-        self.replace(rows.withColumns({c: F.when(here, F.lit(v).cast(TABLES[table][c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}), table)
+        """Set columns of one row; of a table laid out by date only that row's date is written again."""
+        row, here = self.get(table, key), F.col(KEYS.get(table, "id")) == key
+        set_to = {c: F.when(here, F.lit(v).cast(TABLES[table][c].dataType)).otherwise(F.col(c)) for c, v in changes.items()}
+        if table not in PARTITION or "start_time" in changes:
+            self.replace(self.read(table).withColumns(set_to), table)
+            return
+        rows = self.read(table, True).where(F.col(PARTITION[table]) == F.to_date(F.lit(row["start_time"])))
+        rows = rows.withColumns(set_to).drop(PARTITION[table])
+        require(rows, table)
+        day = self.spark.range(1).select(F.to_date(F.lit(row["start_time"])).cast("string")).first()[0]
+        old = [{**x, "without": sorted({*x["without"], day})} for x in self._segments(table)]
+        self._switch(table, [*old, self._write(rows, table)])
 
     def delete(self, table: str, key: object) -> None:
         self.get(table, key)
