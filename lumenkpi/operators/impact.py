@@ -49,21 +49,28 @@ def sample_windows(impacts: DataFrame, kpi_names: DataFrame, pre_hours: int, rec
     """A row per impact, indicator and side with the window, the bucket of t1 and its place in the request.
 
     ``impacts``: impact_id, ne_id, t1, t2; ``kpi_names``: impact_id, kpi_name, position.  A name asked for twice counts
-    twice.  Timestamps are read as UTC wall clocks, as for records without a local time.
+    twice.  The bucket is that of ``t1_local``, the wall clock of t1, where ``impacts`` has it, else of t1 in UTC.
     """
     resolved = resolve_windows(impacts, pre_hours, recovery_hours, post_hours)
-    resolved = resolved.withColumns({"day_period": day_period("t1", config), "week_profile": week_profile("t1")})
+    local = F.col("t1_local").cast("timestamp") if "t1_local" in resolved.columns else F.col("t1")
+    resolved = resolved.withColumns({"day_period": day_period(local, config), "week_profile": week_profile(local), "local_shift": local - F.col("t1")})
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.start").alias("start"), F.col(f"{s}.end").alias("end")) for s in ("pre", "post")]))
-    rows = resolved.select("impact_id", "ne_id", "day_period", "week_profile", sides.alias("w")).select("impact_id", "ne_id", "day_period", "week_profile", "w.*")
+    kept = ["impact_id", "ne_id", "day_period", "week_profile", "local_shift"]
+    rows = resolved.select(*kept, sides.alias("w")).select(*kept, "w.*")
     names = kpi_names.select(F.col("impact_id").alias("_impact"), "kpi_name", "position")
     return rows.join(names, F.col("impact_id") == F.col("_impact")).drop("_impact")
 
 
 def expected_samples(windows: DataFrame, granularity_minutes: int = 15, config: Config = Config()) -> DataFrame:
-    """Adds ``expected_count``: steps from the window's start that lie in the bucket.  Works on any row with a window."""
+    """Adds ``expected_count``: steps from the window's start that lie in the bucket.  Works on any row with a window.
+
+    Steps are bucketed by the wall clock of t1 where the windows have ``local_shift``, the distance of that clock from UTC.
+    """
     if granularity_minutes <= 0:
         raise InvalidInput("granularity_minutes must be positive", granularity_minutes=granularity_minutes)
     steps = F.expr(f"sequence(start, end - INTERVAL 1 MICROSECOND, INTERVAL {int(granularity_minutes)} MINUTES)")
+    if "local_shift" in windows.columns:
+        steps = F.transform(steps, lambda at: at + F.col("local_shift"))
     inside = F.filter(steps, lambda at: (day_period(at, config) == F.col("day_period")) & (week_profile(at) == F.col("week_profile")))
     return windows.withColumn("expected_count", F.size(inside).cast("long"))
 
@@ -71,12 +78,15 @@ def expected_samples(windows: DataFrame, granularity_minutes: int = 15, config:
 def impact_samples(windows: DataFrame, records: DataFrame, config: Config = Config()) -> DataFrame:
     """The clean records of each window in its bucket: KEYS, position, side, value.
 
+    A record's bucket is that of its own wall clock (``start_local``, or ``start_time`` where there is none).
+
     One equi-join on element and indicator with the window as a range condition; a hot series is split by adaptive skew
     joins, as nothing above needs its rows together before they are aggregated.
     """
     need_columns(records, "ne_id", "kpi_name", "start_time", "value", "is_noise", "quality_flag")
-    rows = records.where(is_clean()).select(F.col("ne_id").alias("_ne"), F.col("kpi_name").alias("_kpi"), F.col("start_time").alias("_at"), "value")
-    rows = rows.withColumns({"_period": day_period("_at", config), "_profile": week_profile("_at")})
+    local = F.coalesce(F.col("start_local").cast("timestamp"), F.col("start_time")) if "start_local" in records.columns else F.col("start_time")
+    rows = records.where(is_clean()).select(F.col("ne_id").alias("_ne"), F.col("kpi_name").alias("_kpi"), F.col("start_time").alias("_at"), local.alias("_local"), "value")
+    rows = rows.withColumns({"_period": day_period("_local", config), "_profile": week_profile("_local")}).drop("_local")
     match = (F.col("ne_id") == F.col("_ne")) & (F.col("kpi_name") == F.col("_kpi")) & (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("end"))
     match &= (F.col("day_period") == F.col("_period")) & (F.col("week_profile") == F.col("_profile"))
     return windows.join(rows, match).select(*KEYS, "position", "side", "value")
@@ -139,10 +149,11 @@ def analyze(
     """A row per impact and indicator: means, change, both tests, completeness, classification and anomaly.
 
     An impact or indicator without records still has its row, with means of 0.  An alpha outside (0, 1) leaves both tests
-    null, as if there were too few values.
+    null, as if there were too few values.  An indicator without a definition raises :class:`NotFound`.
     """
     if primary_test not in ("welch", "mann_whitney"):
         raise InvalidInput("primary_test must be welch or mann_whitney", primary_test=primary_test)
+    require_definitions(kpi_names, definitions)
     granularity = config.granularity_minutes if granularity_minutes is None else granularity_minutes
     windows = sample_windows(impacts, kpi_names, pre_hours, recovery_hours, post_hours, config)
     samples = impact_samples(windows, records, config)

@@ -49,6 +49,27 @@ def test_completeness(spark, n, share, status):
     assert (got.clean_count, got.expected_count, got.completeness, got.status) == (n, 8, share, status)
 
 
+def test_samples_are_bucketed_by_their_own_wall_clock(spark):
+    hours = [(at(6, 1) + dt.timedelta(minutes=15 * i)) for i in range(8)]  # 08:00 to 09:45 at +07:00: busy
+    rows = spark.createDataFrame([(i, "NE-1", "k", t, (t + dt.timedelta(hours=7)).replace(tzinfo=None), t + dt.timedelta(minutes=15), 1.0, "good", False) for i, t in enumerate(hours)],
+                                 RECORDS.replace("start_time timestamp,", "start_time timestamp, start_local timestamp_ntz,"))
+    event = impacts(spark, at(6, 3))
+    local = event.selectExpr("*", "cast(t1 + INTERVAL 6 HOURS AS timestamp_ntz) AS t1_local")  # 09:00 there
+    windows = impact.sample_windows(local, names(spark, "k"), 2, 1).where("side = 'pre'")
+    assert windows.first().day_period == "busy"
+    got = impact.completeness(windows, impact.impact_samples(windows, rows)).first()
+    assert (got.clean_count, got.expected_count) == (8, 8)
+    utc = impact.sample_windows(event, names(spark, "k"), 2, 1).where("side = 'pre'")  # 03:00: off peak
+    assert utc.first().day_period == "off_peak" and impact.impact_samples(utc, rows).count() == 0
+    assert impact.impact_samples(utc, rows.drop("start_local")).count() == 8
+
+
+def test_an_indicator_without_definition_is_raised(spark):
+    definition = spark.createDataFrame([("k", "higher_is_better", None, None)], DEF)
+    with pytest.raises(NotFound, match="other"):
+        impact.analyze(impacts(spark, at(6, 19)), names(spark, "k", "other"), records(spark, quarter_hours("k", 6, 17, [1.0])), definition, 2, 1)
+
+
 def analysis(spark, rows, definition, **more):
     return impact.analyze(impacts(spark, at(6, 19), at(6, 20)), names(spark, "k"), records(spark, rows), spark.createDataFrame([("k", *definition)], DEF), 2, 1, 2, **more)
 
