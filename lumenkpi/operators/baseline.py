@@ -23,12 +23,13 @@ def statistics(value: str = "value") -> list[Column]:
     The mean of equal values is that value, without rounding error.
     """
     low, high = F.min(value), F.max(value)
+    percentiles = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))  # one aggregate for all three
     return [
         F.when(low == high, low).otherwise(F.avg(value)).alias("mean_value"),
-        F.percentile(value, F.lit(0.5)).alias("median_value"),
+        percentiles[1].alias("median_value"),
         F.when(low == high, F.lit(0.0)).otherwise(F.stddev_pop(value)).alias("std_value"),
-        F.percentile(value, F.lit(0.05)).alias("p5_value"),
-        F.percentile(value, F.lit(0.95)).alias("p95_value"),
+        percentiles[0].alias("p5_value"),
+        percentiles[2].alias("p95_value"),
         F.count(value).alias("sample_count"),
     ]
 

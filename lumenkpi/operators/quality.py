@@ -113,14 +113,16 @@ def quality_report(records: DataFrame, definitions: DataFrame, granularity_minut
     rows = records.join(facts, F.col("kpi_name") == F.col("_kpi"), "left")
     reason = F.coalesce(null_reason("value", "double", sentinels), range_reason("value", F.col("_low"), F.col("_high")))
     rows = rows.withColumn("_invalid", reason.isNotNull())
-    order, series = _by_time(), Window.partitionBy(*SERIES)
+    order = _by_time()
     first = F.row_number().over(Window.partitionBy(*SERIES, "start_time").orderBy("record_index"))
     rows = rows.withColumn("_valid_value", F.when(~F.col("_invalid"), F.col("value")))
+    # quartiles by aggregation, which combines counts of values before it shuffles, not by a window over whole series
+    per = rows.groupBy(*SERIES).agg(F.percentile("_valid_value", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count("_valid_value").alias("_n"))
+    per = per.select(F.col("ne_id").alias("_ne"), F.col("kpi_name").alias("_series_kpi"), "_q", "_n")
+    rows = rows.join(per, F.col("ne_id").eqNullSafe(F.col("_ne")) & F.col("kpi_name").eqNullSafe(F.col("_series_kpi")))
     rows = rows.withColumns({
         "_missing": F.coalesce(_missing(granularity_minutes, F.lag(_micros("start_time")).over(order)), F.lit(0)),
         "_last_valid": F.last("_valid_value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "_q": F.percentile("_valid_value", F.array(F.lit(0.25), F.lit(0.75))).over(series),
-        "_n": F.count("_valid_value").over(series),
         "_repeat": first > 1,
     })
     iqr = F.col("_q")[1] - F.col("_q")[0]
