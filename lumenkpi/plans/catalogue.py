@@ -30,10 +30,14 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from lumenkpi.plans import storage  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from lumenkpi.plans import storage  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -67,11 +71,11 @@ def baseline_stats(spark, sf_dir):
 
 
 @query(f"""WITH {RB} SELECT ne_id, kpi_name, day_period, week_profile, CAST(len(list(value)) AS BIGINT) AS n,
-  array_to_string(list_transform((list(value ORDER BY record_index))[1:5], lambda v: CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR)), ',') AS first_values FROM b WHERE record_index % 7 = 0 GROUP BY ALL""")
+  array_to_string(list_transform(list(value ORDER BY record_index), lambda v: CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR)), ',') AS all_values FROM b GROUP BY ALL""")
 def baseline_values_in_order(spark, sf_dir):
-    rows = baseline.bucket_values(D.records(spark, sf_dir).where("record_index % 7 = 0"))
-    shown = F.transform(F.slice("values", 1, 5), lambda v: F.round(v * 100).cast("long").cast("string"))
-    return rows.select(*BUCKET, F.size("values").cast("long").alias("n"), F.array_join(shown, ",").alias("first_values"))
+    rows = baseline.bucket_values(D.records(spark, sf_dir))
+    shown = F.transform("values", lambda v: F.round(v * 100).cast("long").cast("string"))
+    return rows.select(*BUCKET, F.size("values").cast("long").alias("n"), F.array_join(shown, ",").alias("all_values"))
 
 
 @query(f"""WITH {RB}, old AS ({_BASE_SQL} FROM b WHERE record_index % 2 = 0 AND kpi_name <> 'signup' GROUP BY ALL), new AS ({_BASE_SQL} FROM b WHERE kpi_name <> 'view' GROUP BY ALL)
@@ -172,13 +176,13 @@ def linear_trend(spark, sf_dir):
     return trend.linear_trend(_daily(spark, sf_dir), ["kpi_name"]).withColumns({c: r6(c) for c in ("slope", "intercept", "r_squared")})
 
 
-@query(f"""WITH {DEF}, s AS (SELECT 'NE-' || CAST(user_id % 5 AS VARCHAR) AS ne_id, event_type AS kpi_name, CAST(ts AS DATE) AS day, sum(value) AS value FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY ALL),
+@query(f"""WITH {DEF}, s AS (SELECT 'NE-' || CAST(user_id % 5 AS VARCHAR) AS ne_id, event_type AS kpi_name, CAST(ts AS DATE) AS day, sum(value) AS value FROM events GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY ne_id, kpi_name ORDER BY day) - 1 AS x FROM s),
 t AS (SELECT ne_id, kpi_name, CASE WHEN min(value) = max(value) THEN 0.0 ELSE regr_slope(value, x) END AS slope, CASE WHEN min(value) = max(value) THEN 1.0 ELSE regr_r2(value, x) END AS r FROM p GROUP BY ALL)
 SELECT ne_id, kpi_name, CASE WHEN r < 0.5 THEN 'unclear' WHEN slope = 0 OR direction_preference = 'context_dependent' THEN 'stable'
   WHEN (direction_preference = 'higher_is_better') = (slope > 0) THEN 'improving' ELSE 'degrading' END AS trend FROM t JOIN def USING (kpi_name)""")
 def trend_class(spark, sf_dir):
-    rows = D.records(spark, sf_dir).where("start_time < TIMESTAMP '2024-01-04'").groupBy(*SERIES, F.to_date("start_time").alias("start_time")).agg(F.sum("value").alias("value"))
+    rows = D.records(spark, sf_dir).groupBy(*SERIES, F.to_date("start_time").alias("start_time")).agg(F.sum("value").alias("value"))
     fitted = trend.linear_trend(rows, SERIES).join(trend.require_directions(D.definitions(spark)), "kpi_name")
     return fitted.select(*SERIES, trend.trend_class().alias("trend"))
 
@@ -247,7 +251,7 @@ def impact_delta(spark, sf_dir):
 # ---------------------------------------------------------------- hypothesis tests (samples: weekday against weekend values)
 
 
-_TWO = f"{R}, s AS (SELECT ne_id, kpi_name, CASE WHEN extract(isodow FROM start_time) <= 5 THEN 'pre' ELSE 'post' END AS side, round(value) AS value FROM r WHERE extract(hour FROM start_time) = 12)"
+_TWO = f"{R}, s AS (SELECT ne_id, kpi_name, CASE WHEN extract(isodow FROM start_time) <= 5 THEN 'pre' ELSE 'post' END AS side, round(value) AS value FROM r)"
 _WELCH = f"""a AS (SELECT ne_id, kpi_name, count(*) FILTER (side = 'pre') AS pre_n, count(*) FILTER (side = 'post') AS post_n, avg(value) FILTER (side = 'pre') AS m1, avg(value) FILTER (side = 'post') AS m2,
   var_samp(value) FILTER (side = 'pre') AS v1, var_samp(value) FILTER (side = 'post') AS v2 FROM s GROUP BY ALL),
 q AS (SELECT *, v1 / pre_n + v2 / post_n AS se2, (v1 / pre_n) * (v1 / pre_n) / (pre_n - 1) + (v2 / post_n) * (v2 / post_n) / (post_n - 1) AS den FROM a WHERE pre_n >= 2 AND post_n >= 2),
@@ -255,8 +259,7 @@ h AS (SELECT *, (m2 - m1) / sqrt(se2) AS t, se2 * se2 / den AS df FROM q WHERE s
 
 
 def _two_samples(spark, sf_dir):
-    rows = D.records(spark, sf_dir).where("hour(start_time) = 12")
-    return rows.select(*SERIES, F.when(F.weekday("start_time") < 5, F.lit("pre")).otherwise(F.lit("post")).alias("side"), F.round("value").alias("value"))
+    return D.records(spark, sf_dir).select(*SERIES, F.when(F.weekday("start_time") < 5, F.lit("pre")).otherwise(F.lit("post")).alias("side"), F.round("value").alias("value"))
 
 
 @query(f"WITH {_TWO}, {_WELCH} SELECT ne_id, kpi_name, pre_n, post_n, {s6('t')} AS statistic, {s6('df')} AS df, {s6(D.sql_student('t', 'df'))} AS p_value, {D.sql_student('t', 'df')} < 0.05 AS is_significant FROM h")

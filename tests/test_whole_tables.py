@@ -1,4 +1,4 @@
-"""Operators whose registered queries and SQL read a part of the table, held against plain loops over all of it."""
+"""Operators over whole tables, held against plain loops."""
 
 import math
 from bisect import bisect_left, bisect_right
