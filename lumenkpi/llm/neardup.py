@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import textkernel as K
@@ -73,11 +73,15 @@ def document_signatures(docs: DataFrame, t: int, rows: int, width: int = WIDTH)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id long, h long, {SIGNATURE}")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, t: int | None, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches (of ``t`` coordinates, if there are any) allow the similarity."""
+def _likely(pairs: DataFrame, reps: DataFrame, t: int | None, similarity: Fraction, apart: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches (of ``t`` coordinates, if there are any) allow the similarity, and whose
+    representatives are ``apart`` where that is asked for."""
     up, down = similarity.numerator, similarity.denominator
-    one, two = (reps.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), *[F.col("sketch").alias(f"s{c}")] * (t is not None)) for c in "ab")
+    more = ["sketch"] * (t is not None) + ["rep"] * (apart is not None)
+    one, two = (reps.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), *[F.col(x).alias(f"{x[0]}{c}") for x in more]) for c in "ab")
     fits = F.least("na", "nb") * down >= F.greatest("na", "nb") * up
+    if apart is not None:
+        fits &= apart(F.col("ra"), F.col("rb"))
     pairs = pairs.join(one, "a").join(two, "b").where(fits)
     if t is None:
         return pairs.select("a", "b")
@@ -191,27 +195,37 @@ def classes_of(signatures: DataFrame, key: list[str]) -> DataFrame:
     return cut(found.select("s1", "s2", "rep", F.monotonically_increasing_id().alias("nid")), "classes", signatures.count())
 
 
-def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int | None = None, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def linked_classes(
+    signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int | None = None, width: int = WIDTH, similarity: Fraction = SIMILARITY,
+    apart: Callable[[Column, Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Links between classes: (links found, the component of each class that has a link).
 
     ``text_of`` gets (nid, rep) rows and returns (nid, text).  ``t`` is the number of coordinates of the signatures'
-    ``sketch``; without it only sizes are compared before full sets.
+    ``sketch``; without it only sizes are compared before full sets.  Pairs whose representatives are not ``apart`` (a
+    condition on both) are not linked to each other.
     """
     n = classes.count()  # bounds the rows of what follows
     members = classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep", "nid")
     same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"rep.{k}"))
-    reps = cut(signatures.where("n > 0").join(members, same).select("nid", "n", "bands", *["sketch"] * (t is not None)).dropDuplicates(["nid"]), "reps", n)
+    reps = cut(signatures.where("n > 0").join(members, same).select("nid", "n", "bands", "rep", *["sketch"] * (t is not None)), "reps", n)
     banded = reps.select("nid", F.explode("bands").alias("bucket"))
     drawn = F.struct(F.xxhash64("nid", "bucket").alias("x"), "nid")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(drawn)["nid"].alias("pivot"), F.max(drawn)["nid"].alias("second")).where("size > 1")
     full = cut(banded.join(cut(buckets, "buckets", 8 * n), "bucket").distinct(), "members", 16 * n)
-    texts = cut(text_of(full.select("nid").distinct().join(classes, "nid").select("nid", "rep")), "texts", TEXT * n)
 
     tried = full.select("nid", F.explode(F.array("pivot", "second")).alias("with")).where("nid <> with")
     pairs = tried.select(F.least("nid", "with").alias("a"), F.greatest("nid", "with").alias("b")).distinct()
-    links = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links", TEXT * full.count())
+    pairs = cut(_likely(pairs, reps, t, similarity, apart), "likely", 16 * n)
+    # the texts of these, and of buckets that are not yet done with them
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).union(full.where("size > 3").select("nid")).distinct()
+    wanted = cut(wanted.join(classes, "nid").select("nid", "rep"), "wanted", n)
+    texts = cut(text_of(wanted), "texts", TEXT * n)
+    if texts.count() > wanted.count():  # repeated rows
+        texts = cut(texts.dropDuplicates(["nid"]), "texts", TEXT * n)
+    links = cut(_verified(pairs, texts, width, similarity), "links", TEXT * pairs.count())
     joined = cut(components(links), "joined", n)
 
     # links between members of a bucket that are in different components (up to three members have all been compared)
@@ -225,13 +239,23 @@ def linked_classes(signatures: DataFrame, classes: DataFrame, key: list[str], te
     pivots = here.where("component = main").groupBy(F.col("main").alias("_m")).agg(F.min(drawn)["nid"].alias("pivot"))
     here = here.join(pivots, F.col("main") == F.col("_m")).select("main", "nid", "component", "pivot")
     pairs = _open_pairs(here, texts, width, similarity)
-    more = cut(_verified(_likely(pairs, reps, t, similarity), texts, width, similarity), "links", TEXT * n)
-    merged = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    more = cut(_verified(_likely(pairs, reps, t, similarity, apart), texts, width, similarity), "links", TEXT * n)
+    merged = _merged(joined, more, n) if more.count() else joined
     for done in (texts, reps, full):
         drop(done)
     return links.union(more), merged
 
 
+def _merged(joined: DataFrame, more: DataFrame, n: int) -> DataFrame:
+    """The components ``joined`` (node, component) with further links between their members or other nodes."""
+    ends = more.select("a", F.explode(F.array("a", "b")).alias("end"), "b").select("a", "b", "end")
+    named = cut(ends.join(joined, F.col("end") == F.col("node"), "left").select("a", "b", "end", F.coalesce("component", "end").alias("c")), "ends", n)
+    links = named.groupBy("a", "b").agg(F.min("c").alias("a2"), F.max("c").alias("b2")).select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+    renamed = cut(components(links), "renamed", n).select(F.col("node").alias("_node"), F.col("component").alias("_new"))
+    nodes = joined.select("node", "component").union(named.select(F.col("end").alias("node"), F.col("c").alias("component"))).distinct()
+    return nodes.join(renamed, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_new", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, t: int = 128, rows: int | None = None, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, component_id, kept of every document (``doc_id``, ``text``)."""
     rows = rows or choose_rows(t, float(similarity), 0.99999)
@@ -259,4 +283,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_near_dedup": op4_near_dedup}
-ORACLES: dict[str, str] = {}
+#: Every pair that shares a shingle is compared, and all reachable documents are listed: for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS united, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * united), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept FROM s LEFT JOIN c ON c.a = s.doc_id"""
+ORACLES: dict[str, str] = {"op4_near_dedup": ORACLE}

@@ -9,13 +9,15 @@ The paragraphs of a text, all of at least ``min_words`` words, are
   a passage has the same windows in every text, and any passage of ``PASSAGE`` words holds at least one whole window.
 
 Every paragraph has a MinHash sketch of ``T_SKETCH`` coordinates in bands of ``ROWS``.  Lines and runs use all bands: a
-pair of similarity 0.75 shares one with probability 0.9987.  Windows use the first ``WINDOW_BANDS`` (0.92 for a window; a
-passage has several).  Paragraphs that collide are joined, the exact Jaccard similarity of their 5-word shingles decides,
+pair of similarity 0.75 shares one with probability 0.9987.  Windows use the first ``WINDOW_BANDS`` (0.81 for a window; a
+passage has several).  Windows are compared with windows, lines and runs with each other.
+Paragraphs that collide are joined, the exact Jaccard similarity of their 5-word shingles decides,
 and linked ones form a component: see ``neardup`` for how that is done without ever expanding a bucket into its pairs.
 Equal shingle sets are one class, which collides in every band and is linked by definition.
 
-The first paragraph of a component (by document, then place) stays, the others are removed.  A paragraph that overlaps
-the first one (a line and a window in it) is not a copy of it, and a component of such only is left alone.
+The first paragraph of a component (by document, then place) stays, the others are removed.  Paragraphs that overlap (a
+line and a window in it) are no copies of each other: they are not linked, and one that overlaps the first of its
+component all the same is left alone.
 
 Edge cases: null and empty texts have no paragraphs; shorter paragraphs than ``min_words`` are left alone, and one of
 fewer than five words has its words as its only shingle; rows with a null ``doc_id`` are left out of the search and keep
@@ -42,7 +44,7 @@ WIDTH = neardup.WIDTH
 MIN_WORDS = 20
 PASSAGE, SPAN = 50, 20
 SHORT_LINE = 32  # words; shorter lines may be pieces of a wrapped paragraph
-T_SKETCH, ROWS, WINDOW_BANDS = 16, 2, 3
+T_SKETCH, ROWS, WINDOW_BANDS = 16, 2, 2
 NEWLINE = 10
 UNIT = "doc_id long, h long, start int, stop int, n int, s1 long, bands array<long>"
 
@@ -115,6 +117,8 @@ def units(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
                 continue
             items, sizes = block.sets_of_ranges(s, e) if few is None else block.sets_of_windows(s)
             bands = K.band_hashes(sketcher.flat(items, sizes), ROWS)[:, :few]
+            if few is not None:  # windows collide with windows only, not with the lines they are cut from
+                bands = K.mix(bands.view(np.uint64) + np.uint64(1)).view(np.int64)
             offsets = np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)
             at = pa.array(a + block.row_of_word[s])
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +146,7 @@ def _colliding(found: DataFrame) -> DataFrame:
     often = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("_b"))
     some = cut(banded.join(often, F.col("bucket") == F.col("_b"), "left_semi").select(F.col("uid").alias("_u")).distinct(), "colliding")
     # equal sets have equal first bands too, so both numbers tell classes apart
-    return cut(found.join(some, F.col("uid") == F.col("_u"), "left_semi").select(*KEY, F.col("n").cast("long").alias("n"), "s1", F.col("bands")[0].alias("s2"), "bands").distinct(), "units")
+    return cut(found.join(some, F.col("uid") == F.col("_u"), "left_semi").select(*KEY, F.col("n").cast("long").alias("n"), "s1", F.col("bands")[0].alias("s2"), "bands"), "units")
 
 
 def _overlaps(a: str) -> Column:
@@ -150,6 +154,11 @@ def _overlaps(a: str) -> Column:
     return (F.col(f"{a}doc_id") == F.col("rep.doc_id")) & (F.col(f"{a}h") == F.col("rep.h")) & (F.col(f"{a}start") < F.col("rep.stop"))
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Whether two paragraphs do not overlap."""
+    return ~((a["doc_id"] == b["doc_id"]) & (a["h"] == b["h"]) & (a["start"] < b["stop"]) & (b["start"] < a["stop"]))
+
+
 def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(nid, text) of the paragraphs (nid, rep); the places of one text are cut out of it together."""
 
@@ -162,7 +171,7 @@ def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     wanted = found.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h")).agg(F.collect_list(F.struct("nid", F.col("rep.start").alias("start"), F.col("rep.stop").alias("stop"))).alias("wanted"))  # within one text
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return source.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "wanted").mapInArrow(run, "nid long, text string").dropDuplicates(["nid"])
+    return source.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "wanted").mapInArrow(run, "nid long, text string")
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
@@ -170,11 +179,14 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
 
     ``kind`` is ``equal`` where the shingle sets are those of the one that stays, else ``near``.
     """
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    if not named.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows are one document
+        docs = docs.select("doc_id", "text").dropDuplicates()
     found = cut(units(docs, min_words).withColumn("uid", F.monotonically_increasing_id()), "paragraphs")
     signatures = _colliding(found)
     drop(found)
     classes = neardup.classes_of(signatures, KEY)
-    _, merged = neardup.linked_classes(signatures, classes, KEY, lambda wanted: _texts(docs, wanted))
+    _, merged = neardup.linked_classes(signatures, classes, KEY, lambda wanted: _texts(docs, wanted), apart=_apart)
     named = classes.join(merged.withColumnRenamed("node", "_node"), F.col("nid") == F.col("_node"), "left").select("s1", "s2", "nid", "rep", F.coalesce("component", "nid").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("rep", "nid")).alias("_first")).select(F.col("component").alias("_c"), "_first")
     named = named.join(first, F.col("component") == F.col("_c")).select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("_first.rep").alias("rep"), (F.col("nid") == F.col("_first.nid")).alias("_equal"))
