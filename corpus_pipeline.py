@@ -8,7 +8,11 @@ Stages but the last return the columns of ``documents``:
 4. secrets: secrets are replaced by a marker.
 5. packing: what is left is tokenised and packed into sequences; a row per piece.
 
-Rows with a null ``doc_id`` or text pass through the stages as their operators define.
+Edge cases: a null or empty text has log weight 0 in the quality stage, which decides about it like about any other, and
+passes all later ones (one token, the separator, when packed); rows with a null ``doc_id`` are not linked, so they all
+stay; repeated rows stay or go together, and rows of one id and different texts are documents of their own; very long
+texts are taken whole; ties in the quality stage's draw are kept together; columns of any name and type come through
+unchanged, but ``n_chars`` follows the text; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -169,7 +169,7 @@ def test_windows_do_not_depend_on_the_texts_beside():
 
 
 def plain_paragraphs(text, min_words):
-    """(first word, end, words) of the lines, runs of short lines and windows of a text."""
+    """(first word, end, words, whether it is a window) of the lines, runs of short lines and windows of a text."""
     words, lines = [], []
     for line in text.split("\n"):
         lines.append((len(words), len(words := words + line.lower().split())))
@@ -182,8 +182,8 @@ def plain_paragraphs(text, min_words):
         if len(run) > 1:
             found.append((run[0][0], run[-1][1]))
         run = []
-    found += [(a, a + P.SPAN) for a in block_of(text).windows().tolist()]
-    return [(a, b, words[a:b]) for a, b in found if b - a >= min_words]
+    found = [(*x, False) for x in found] + [(a, a + P.SPAN, True) for a in block_of(text).windows().tolist()]
+    return [(a, b, words[a:b], window) for a, b, window in found if b - a >= min_words]
 
 
 def plain_set(words):
@@ -208,7 +208,7 @@ def test_paragraphs_against_all_pairs(docs_of, min_words):
             words = edited(rnd.choice(pool)) if rnd.random() < 0.6 else passage(rnd, rnd.randint(1, 60)).split()
             lines.append(" ".join(words if rnd.random() < 0.7 else [*passage(rnd, 9).split(), *words, *passage(rnd, 13).split()]))
         texts.append(rnd.choice(["\n", "\n\n"]).join(lines))
-    units = {(d, a, b): plain_set(w) for d, t in enumerate(texts) for a, b, w in plain_paragraphs(t, min_words)}
+    units = {(d, a, b, window): plain_set(w) for d, t in enumerate(texts) for a, b, w, window in plain_paragraphs(t, min_words)}
     places = sorted(units)
     name = {u: u for u in units}
 
@@ -220,19 +220,22 @@ def test_paragraphs_against_all_pairs(docs_of, min_words):
     for i, x in enumerate(places):
         for y in places[i + 1 :]:
             both = len(units[x] & units[y])
-            if 100 * both >= 75 * (len(units[x]) + len(units[y]) - both):
+            overlap = x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+            if x[3] == y[3] and not overlap and 100 * both >= 75 * (len(units[x]) + len(units[y]) - both):
                 one, two = sorted((find(x), find(y)))
                 name[two] = one
     overlaps = lambda x, first: x[0] == first[0] and x[1] < first[2]
-    expected = {(u, find(u)) for u in units if find(u) != u and not overlaps(u, find(u))}
+    expected = {(u[:3], find(u)) for u in units if find(u) != u and not overlaps(u, find(u))}
     starts = [[t[: m.start()].count("") - 1 for m in re.finditer(r"\S+", t)] for t in texts]
     rows = P.repeated_paragraphs(docs_of(texts), min_words).where("removed").collect()
     ends = [[m.end() for m in re.finditer(r"\S+", t)] for t in texts]
     at = lambda d, start, stop: (d, starts[d].index(start), ends[d].index(stop) + 1)
     got = {at(r.doc_id, r.start, r.stop): (r.rep_doc_id, starts[r.rep_doc_id].index(r.rep_start)) for r in rows}
-    wanted = {u: first[:2] for u, first in expected}
+    wanted = {}
+    for u, first in expected:
+        wanted.setdefault(u, set()).add(first[:2])
     assert got.keys() <= wanted.keys() and len(got) >= 0.97 * len(wanted) and len(wanted) > 40
-    assert sum(wanted[u] == first for u, first in got.items()) >= 0.97 * len(got)
+    assert sum(first in wanted[u] for u, first in got.items()) >= 0.97 * len(got)
 
 
 def test_odd_paragraphs(docs_of):

@@ -1,4 +1,8 @@
+from tokenizers import Tokenizer
+
 import corpus_pipeline as C
+from lumenkpi.llm import packing as P
+from lumenkpi.llm import quality as Q
 from lumenkpi.llm.shared import cut
 from tests.llm.test_native import plain_dedup, plain_spans
 from tests.llm.test_near import brute_components
@@ -10,7 +14,10 @@ def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = docs.columns
     good = cut(C.STAGES[0][1](spark, docs, SF))
-    assert good.columns == names and 0 < good.count() <= docs.count()
+    assert good.columns == names
+    drawn = {r.doc_id: r for r in Q.resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    k = sum(r.kept for r in drawn.values())
+    assert 0 < k < docs.count() and {r.doc_id for r in good.collect()} == {i for i, r in drawn.items() if r.key >= sorted((x.key for x in drawn.values()), reverse=True)[k - 1]}
     lines = cut(C.STAGES[1][1](spark, good, SF))
     before = {r.doc_id: r.text for r in good.collect()}
     expected = {i: t for i, t in plain_dedup(list(before.items())) if t == before[i] or t.strip()}
@@ -22,15 +29,40 @@ def test_stages_against_brute_force(spark):
     safe = cut(C.STAGES[3][1](spark, one, SF))
     assert safe.columns == names and safe.count() == one.count()
     assert all(plain_spans(r.text) == "" for r in safe.collect())
-    packed = C.STAGES[4][1](spark, safe, SF)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in safe.collect()}
+    packed = C.STAGES[4][1](spark, safe, SF).collect()
+    tokenizer = Tokenizer.from_file(P.vocabulary_path())
+    lengths, sequences = {}, {}
+    for r in packed:
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert lengths == {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in safe.collect()}
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= P.CAPACITY
+    assert len(sequences) <= 1.02 * sum(lengths.values()) / P.CAPACITY + 1
 
 
 def test_stages_take_odd_rows(spark, docs_of):
-    docs = docs_of([None, "", "a b c", "a b c", "token = abcdefgh\nx\ny"], [1, 2, 3, None, 4])
+    """Nulls, empty, very long and repeated texts, equal ids and columns whose names clash."""
+    long = "\n".join(f"line {i} of a very long text with words of its own {i * i}" for i in range(20_000))
+    rows = {1: None, 2: "", 3: "a b c", 4: "token = abcdefgh\nx\ny", 5: long, 6: long + " end", 7: "a b c"}
+    docs = docs_of([*rows.values(), "a b c", None, long], [*rows, None, None, 5])
+    names, stages = docs.columns, []
     for _, stage in C.STAGES:
         docs = cut(stage(spark, docs, SF))
-    assert docs.count() > 0
+        stages.append(docs.collect())
+    quality, lines, near, safe, packed = stages
+    kept = {r.doc_id for r in quality}
+    assert all([*r.asDict()] == names for x in stages[:4] for r in x) and kept <= {*rows, None} and len(kept) > 1
+    assert {r.text for r in quality} <= {*rows.values()} and all(r.text == rows[r.doc_id] for r in quality if r.doc_id)
+    assert {r.doc_id for r in near} <= {r.doc_id for r in lines} <= kept
+    texts = [r.text for r in near if r.doc_id is not None and r.text and r.text.strip()]
+    assert len(texts) == len(set(texts)) and len([r for r in near if r.doc_id in (3, 7)]) <= 1
+    assert len(safe) == len(near) and not any("abcdefgh" in (r.text or "") for r in safe)
+    assert sorted({(r.doc_id or -1) for r in packed}) == sorted({(r.doc_id or -1) for r in safe})
     empty = docs_of([])
     for _, stage in C.STAGES:
         empty = cut(stage(spark, empty, SF))
