@@ -1,15 +1,23 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into a machine over characters: the normaliser rewrites a text to the machine's alphabet, every
-vocabulary piece is an arc that reads its characters and writes its id, and a character that no piece spells is read by
-a byte-fallback arc that writes its UTF-8 bytes.  Composing the machine with a text gives a lattice; its shortest path
-in the tropical semiring is the encoding.
+A model file is compiled into machines over characters:
 
-* In a unigram model an arc weighs minus its log probability.
-* A merge-based (BPE) model has no such weights: there the machine's state is the piece it wrote last, and the arc for
-  piece ``b`` leaves state ``a`` with weight 0 if merging the text ``ab`` ends in exactly these two pieces, with
-  infinite weight otherwise.  A sequence of pieces is the one that merging gives if and only if all its neighbours are
-  such pairs, so each prefix has exactly one path of finite weight and the shortest path is the merge result.
+* the normaliser has an arc for each character that it rewrites (spaces to boundary marks) and states that squeeze runs of spaces
+  and write the first mark;
+* the piece machine is a tree of states with an arc for each character of a piece; from the state where a piece ends an arc
+  without input writes its id and goes back to the root;
+* a byte-fallback arc from the root reads a character that is no piece by itself and writes its UTF-8 bytes.
+
+Arcs have weights of the tropical semiring (they add up along a path, the least path counts).  In a unigram model writing a
+piece weighs minus its log probability.  A merge-based (BPE) model has no such weights: writing ``b`` after ``a`` weighs 0 if
+merging the text ``ab`` ends in exactly these two pieces, else infinity, so the machine remembers the piece that it wrote
+last.  A sequence of pieces is the one that merging gives if and only if all its neighbours are such pairs, so the only
+path of finite weight is the merge result.
+
+The piece machine is composed with the text as it is read and made deterministic at the same time: a composed state holds
+every place in the tree that some best path may be at, with the weight by which it lags behind the best, and its arcs are
+made the first time a character needs them and kept.  The shortest path is then one arc for each character and a walk back from
+the end over the pieces that the states say end there; both kinds of model go the same way.
 
 No piece has a word-boundary mark after another character (checked when compiling), so a text is composed word by word
 and results of words that were met before come from a bounded cache.
@@ -68,7 +76,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """The compiled machine of one model file."""
 
-    LIMIT, PAIRS, PREFIXES = 300_000, 1_000_000, 800_000  # entries of the caches
+    LIMIT, PAIRS, STATES = 300_000, 1_000_000, 400_000  # words, pairs and composed states that are kept
 
     def __init__(self, model: bytes):
         pieces: list[tuple[str, float, int]] = []
@@ -100,7 +108,7 @@ class Transducer:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self.prefixes: dict[str, tuple[int, int]] = {}
+        self.reads = str.maketrans({" ": MARK} if self.escape else {})
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         if self.kind == BPE:
             order = {s: k for k, s in enumerate(sorted({self.score[i] for i in self.ids.values()}, reverse=True))}
@@ -114,6 +122,28 @@ class Transducer:
             for p, i in self.ids.items():
                 made = self.merge(p, i)
                 self.alone[i] = made == [p]
+        # the piece machine: by state its arcs and the piece that ends there
+        self.tree: list[dict[str, int]] = [{}]
+        self.final = [-1]
+        for p, i in self.ids.items():
+            node = 0
+            for c in p:
+                after = self.tree[node].get(c)
+                if after is None:
+                    after = self.tree[node][c] = len(self.tree)
+                    self.tree.append({})
+                    self.final.append(-1)
+                node = after
+            self.final[node] = i
+        self.fallback = 1.0 if self.kind == BPE else 10.0 - min((self.score[i] for i in self.ids.values()), default=0.0)
+        self._reset()
+
+    def _reset(self) -> None:
+        """Forget all composed states but the first, which is at the root and has written nothing."""
+        self.places: list[tuple] = [((0, -2, 0.0, 0),)]
+        self.last: list[tuple[int, int]] = [(-1, 0)]
+        self.arcs: list[dict[str, int]] = [{}]
+        self.known: dict[tuple, int] = {}
 
     def merge(self, text: str, target: int = -1) -> list[str]:
         """Merging by definition: the neighbours whose union scores best, the leftmost of equals, until none is left.
@@ -165,73 +195,60 @@ class Transducer:
             found = self.pairs[key] = self.alone[piece] and self._follows(state, piece)
         return found
 
-    def _forward(self, text: str) -> tuple[list[int], list[int]]:
-        """Unigram: the last piece of the shortest path to each place of the text, and where that piece begins."""
-        n, ids = len(text), self.ids
-        fallback = 10.0 - min((self.score[i] for i in ids.values()), default=0.0)
-        cost, state, back = [0.0] + [math.inf] * n, [-2] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                piece = ids.get(text[start:end])
-                if piece is not None:
-                    c = cost[start] - self.score[piece]
-                elif start == end - 1:
-                    c, piece = cost[start] + fallback, -1
-                else:
-                    continue
-                if c < cost[end]:
-                    cost[end], state[end], back[end] = c, piece, start
-        return state, back
-
-    def _forward_unique(self, text: str) -> tuple[list[int], list[int]]:
-        """Merge-based: the same.  The only finite path to a place depends on nothing but the prefix up to it, so
-        prefixes that were met before come from a bounded cache."""
-        n, ids, known, pairs, size, alone = len(text), self.ids, self.prefixes, self.pairs, self.size, self.alone
-        if len(known) > self.PREFIXES:
-            known.clear()
-        state, back = [-2] * (n + 1), [0] * (n + 1)
-        longest, allowed, seen = self.longest, self.allowed, True
-        for end in range(1, n + 1):
-            head = text[:end] if end <= 64 else None
-            got = known.get(head) if seen else None
-            if got is None:
-                seen = False  # nor is any longer prefix known
-                for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                    piece = ids.get(text[start:end])
-                    if piece is None:
-                        if start == end - 1:
-                            got = (-1, start)
-                            break
-                        continue
-                    before = state[start]
-                    if before < 0:
-                        fits = alone[piece]
-                    else:
-                        fits = pairs.get(before * size + piece)
-                        if fits is None:
-                            fits = allowed(before, piece)
-                    if fits:
-                        got = (piece, start)
-                        break
-                if head is not None:
-                    known[head] = got
-            state[end], back[end] = got
-        return state, back
+    def weight(self, before: int, piece: int) -> float:
+        """Of writing ``piece`` after ``before``."""
+        return -self.score[piece] if self.kind == UNIGRAM else 0.0 if self.allowed(before, piece) else math.inf
+
+    def _arc(self, state: int, c: str) -> int:
+        """The composed state after reading ``c``: made, unless another arc leads to the same.
+
+        A place is (characters read since the root, piece written before, weight behind the best, state of the tree); the first
+        one is at the root.
+        """
+        places, best, piece, length = [], math.inf, -1, 1
+        for read, before, behind, node in self.places[state]:
+            node = self.tree[node].get(c)
+            if node is None:
+                continue
+            ends = self.final[node]
+            if ends >= 0:
+                total = behind + self.weight(before, ends)
+                if total < best:
+                    best, piece, length = total, ends, read + 1
+            if self.tree[node]:
+                places.append((read + 1, before, behind, node))
+        if c not in self.ids and self.fallback < best:
+            best, piece, length = self.fallback, -1, 1
+        key = ((0, piece, 0.0, 0), *[(read, before, behind - best, node) for read, before, behind, node in places]), (piece, length)
+        after = self.known.get(key)
+        if after is None:
+            after = self.known[key] = len(self.arcs)
+            self.places.append(key[0])
+            self.last.append(key[1])
+            self.arcs.append({})
+        self.arcs[state][c] = after
+        return after
 
     def shortest_path(self, text: str) -> list[int]:
         """The ids on the best path of the machine composed with a normalised text."""
-        state, back = self._forward_unique(text) if self.kind == BPE else self._forward(text)
+        arcs, last, state, path = self.arcs, self.last, 0, []
+        for c in text:
+            after = arcs[state].get(c)
+            state = self._arc(state, c) if after is None else after
+            path.append(state)
         out: list[int] = []
         end = len(text)
         while end > 0:
-            start, piece = back[end], state[end]
+            piece, length = last[path[end - 1]]
             if piece >= 0:
                 out.append(piece)
             else:
-                raw = text[start:end].encode()
+                raw = text[end - 1].encode()
                 out.extend(reversed([self.bytes[x] for x in raw] if self.bytes else [self.unknown]))
-            end = start
+            end -= length
         out.reverse()
+        if len(arcs) > self.STATES:
+            self._reset()
         return out
 
     def normalise(self, text: str) -> str:
@@ -239,8 +256,7 @@ class Transducer:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
-        text = (" " if self.dummy else "") + text
-        return text.replace(" ", MARK) if self.escape else text
+        return ((" " if self.dummy else "") + text).translate(self.reads)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit bytes."""

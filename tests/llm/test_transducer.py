@@ -43,7 +43,7 @@ def test_follow_rule_is_merging(machine):
 def test_caches_do_not_change_results(library):
     with open(T.model_path(), "rb") as f:
         machine = T.Transducer(f.read())
-    machine.LIMIT = machine.PAIRS = machine.PREFIXES = 3
+    machine.LIMIT = machine.PAIRS = machine.STATES = 3
     for text in ("the theatre there", "a b c d e f g", "the theatre"):
         assert ids(machine, text) == library.encode(text)
 
@@ -74,3 +74,41 @@ def test_unigram_shortest_path():
     model = piece("<unk>", 0, 2) + piece("▁a", -1) + piece("b", -2) + piece("▁ab", -4) + piece("bb", -2.5) + field(2, bytes([3 << 3, 1])) + field(3, bytes([4 << 3, 0]))
     machine = T.Transducer(model)
     assert ids(machine, "abb") == [1, 4] and ids(machine, "ab") == [1, 2] and ids(machine, "ax") == [1, 0]
+
+
+def plain_unigram(pieces, text, fallback):
+    """The least weight of any way to cut a text into pieces and single characters that are none."""
+    best = [0.0] + [np.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(end):
+            part = text[start:end]
+            if part in pieces:
+                best[end] = min(best[end], best[start] - pieces[part])
+            elif len(part) == 1:
+                best[end] = min(best[end], best[start] + fallback)
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_composed_states_against_all_paths(seed):
+    rnd = random.Random(seed)
+    words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(25)} - {"c"}
+    pieces = {w: float(np.float32(-rnd.choice([1, 1.5, 2, 3, rnd.random() * 4]))) for w in words}
+
+    def field(n, data):
+        return bytes([n << 3 | 2, len(data)]) + data
+
+    def piece(text, score, kind=1):
+        return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + np.float32(score).tobytes() + bytes([3 << 3, kind]))
+
+    model = piece("<unk>", 0, 2) + b"".join(piece(w, x) for w, x in pieces.items()) + field(2, bytes([3 << 3, 1])) + field(3, bytes([3 << 3, 0, 4 << 3, 0, 5 << 3, 0]))
+    machine = T.Transducer(model)
+    machine.STATES = rnd.choice([5, 10**6])
+    for _ in range(300):
+        text = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12)))
+        got = ids(machine, text)
+        spelled, weight = "", 0.0
+        for i in got:
+            weight += machine.fallback if i == 0 else -machine.score[i]
+            spelled += text[len(spelled)] if i == 0 else machine.text[i]
+        assert spelled == text and weight == pytest.approx(plain_unigram(pieces, text, machine.fallback))
