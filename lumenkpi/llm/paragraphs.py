@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, drop, fold, ship, spread, table, unfold
+from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
 
 WIDTH = neardup.WIDTH
 #: The least passage that the registered query looks for, in words.  The operator takes any.
@@ -141,10 +141,14 @@ KEY = ["doc_id", "h", "start", "stop"]
 
 
 def _colliding(found: DataFrame) -> DataFrame:
-    """The units that share a band with another one; hashes and numbers of units are shuffled, not the units' places."""
-    banded = spread(found.select("uid", F.explode("bands").alias("bucket")), "bucket")
-    often = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("_b"))
+    """The units that share a band with another one; hashes and numbers of units are shuffled, not the units' places.
+
+    Bands are counted before they are shuffled, and those of a hot bucket are split by the join.
+    """
+    banded = found.select("uid", F.explode("bands").alias("bucket"))
+    often = cut(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("_b")), "often")
     some = cut(banded.join(often, F.col("bucket") == F.col("_b"), "left_semi").select(F.col("uid").alias("_u")).distinct(), "colliding")
+    drop(often)
     # equal sets have equal first bands too, so both numbers tell classes apart
     return cut(found.join(some, F.col("uid") == F.col("_u"), "left_semi").select(*KEY, F.col("n").cast("long").alias("n"), "s1", F.col("bands")[0].alias("s2"), "bands"), "units")
 
