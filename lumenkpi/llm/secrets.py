@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkpi.llm.shared import fold, scratch, ship, table, unfold, write
+from lumenkpi.llm.shared import cut, fold, scratch, ship, table, unfold, write
 
 
 @dataclass(frozen=True)
@@ -150,6 +150,7 @@ def scan_twice(docs: DataFrame) -> DataFrame:
     ledger = BlobLedger(spark, path, (*RULES, *ADDED))
     ledger.update(docs, "text", 2)
     entries = ledger.entries().groupBy(F.col("blob").alias("_b")).agg(F.min("number").alias("first_update"), F.max(F.when(F.col("number") == 2, F.size("scanned"))).alias("scanned_last"), F.flatten(F.collect_list("found")).alias("_found"))  # an entry per update
+    entries = cut(entries, "entries")  # a table of its own, so that the join can split a blob that many documents hold
     rows = docs.select(F.col("doc_id"), blob_id("text").alias("_blob")).join(entries, F.col("_blob") == F.col("_b"))
     return rows.select("doc_id", F.array_sort("_found").alias("found"), "first_update", "scanned_last")
 
@@ -169,7 +170,7 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     spark = docs.sparkSession
     ledger = BlobLedger(spark, scratch(spark, "ledger"), (*RULES, *ADDED))
     ledger.update(docs, "text")
-    found = ledger.findings().select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+    found = cut(ledger.findings().select(F.col("blob").alias("_blob"), F.col("found").alias("_found")), "findings")  # so that the join can split a hot blob
     clean = f"""if(_found IS NULL, text, aggregate(_found, struct(0 AS at, '' AS kept),
         (s, x) -> if(x.start < s.at, struct(greatest(s.at, x.stop) AS at, s.kept AS kept),
                      struct(x.stop AS at, s.kept || substring(text, s.at + 1, x.start - s.at) || '{marker}' AS kept)),
