@@ -197,7 +197,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
     rows = cut(signatures.join(cut(named, "named"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(*KEY, "rep", "_equal"), "copies")
     drop(signatures)
     rows = rows.where(~_overlaps("") | (F.struct(*KEY) == F.col("rep")))
-    copied = rows.where(F.struct(*KEY) != F.col("rep")).select(F.col("rep").alias("_rep")).distinct()
+    copied = cut(rows.where(F.struct(*KEY) != F.col("rep")).select(F.col("rep").alias("_rep")).distinct(), "copied", classes.count())  # a table, so that the join can split a hot one
     rows = rows.join(copied, F.col("rep") == F.col("_rep"), "left_semi")
     kind = F.when(F.col("_equal"), "equal").otherwise("near")
     return rows.select(*KEY, kind.alias("kind"), F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.start").alias("rep_start"), (F.struct(*KEY) != F.col("rep")).alias("removed"))
