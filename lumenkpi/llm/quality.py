@@ -5,12 +5,11 @@ labelled good), one to the raw corpus.  The log ratio of their probabilities is
 Gumbel top-k draws documents without replacement in proportion to ``weight ** (1 / temperature)``: a document's key is
 its log weight plus temperature times a Gumbel variate, and the k largest keys are kept.
 
-* The raw model counts every document.  The target model counts half of the documents that are labelled good (chosen
-  by a hash of their ids, about ``max_labels`` at most) and is smoothed towards the raw model.  Either model is
-  ``buckets`` numbers.
+* The raw model counts every document.  The target model counts every document that is labelled good and whose id falls
+  to it by a hash (half of them), and is smoothed towards the raw model.  Either model is ``buckets`` numbers.
 * By default k is the number of documents whose log weight reaches a cut, so the share that is kept follows the corpus.
-  The cut is the one that parts good from bad best among the labelled documents that the target model has not seen
-  (again ``max_labels`` at most), where losing good ones counts ten times.  At the temperature of 1, which the query takes,
+  The cut is the one that parts good from bad best among all labelled documents of the other half, which the target
+  model has not seen, where losing good ones counts ten times.  At the temperature of 1, which the query takes,
   documents are drawn in proportion to their weights; a lower one makes the draw a cut by weight.
 * The k-th largest key is found exactly, by rounds of at most 4,096 counts.
 
@@ -25,14 +24,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, fold, ship, table, unfold
+from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
 
 BUCKETS = 10_000
-MAX_LABELS = 20_000
+WORDS = 1 << 20  # of 64 bits each, in the filter before the join with labels
 PRIOR = 0.2
 LOSS = 10.0
 TEMPERATURE = 1.0
@@ -58,38 +57,47 @@ def _half(label_id: str = "doc_id") -> F.Column:
     return F.pmod(F.xxhash64(F.col(label_id), F.lit(5)), F.lit(2))
 
 
-def _bounded(labels: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of their ids."""
-    share = int(min(1.0, most / max(labels.count(), 1)) * (1 << 20))
-    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+def _labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``ids``.
 
+    A bitmap of hashed ids (``WORDS`` rows at most) comes first, so that the join moves few texts that it does not keep.
+    """
+    place = F.xxhash64("doc_id")
+    word, bit = F.pmod(place, F.lit(WORDS)), F.pmod(F.shiftright(place, 32), F.lit(64)).cast("int")
+    marks = ids.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    marks = marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    some = docs.join(F.broadcast(marks), (word == F.col("_word")) & (F.call_function("shiftright", "_bits", bit).bitwiseAND(1) == 1), "left_semi")
+    return some.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of the target to the raw model by bucket, from one pass over all documents."""
-    ship(docs.sparkSession)
-    good = labels.where((F.col("quality") == 1) & (_half() == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"))
-    rows = _bounded(good, max_labels).collect()  # about max_labels numbers
-    chosen = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([r.doc_id for r in rows], np.int64)))
+
+def _counts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """How often each bucket's features occur in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, buckets), np.int64)
+        counts = np.zeros(buckets, np.int64)
         for batch in batches:
-            good = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), chosen.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for a, one, row, two, row2 in block_features(batch.column(1), buckets):
-                counts[0] += np.bincount(one, minlength=buckets) + np.bincount(two, minlength=buckets)
-                counts[1] += np.bincount(one[good[a + row]], minlength=buckets) + np.bincount(two[good[a + row2]], minlength=buckets)
-        model, bucket = np.nonzero(counts)
-        if len(model):
-            yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[model, bucket])], ["model", "bucket", "n"])
-
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "model int, bucket int, n long")
-    counts = np.zeros((2, buckets))
-    for r in found.groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect():  # 2 x buckets
-        counts[r.model, r.bucket] = r.n
-    if not counts[1].any():
+            for _, one, _, two, _ in block_features(batch.column(0), buckets):
+                counts += np.bincount(one, minlength=buckets) + np.bincount(two, minlength=buckets)
+        bucket = np.flatnonzero(counts)
+        if len(bucket):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(counts[bucket])], ["bucket", "n"])
+
+    counts = np.zeros(buckets)
+    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row a bucket
+        counts[r.bucket] = r.n
+    return counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Log ratio of the target to the raw model by bucket."""
+    ship(docs.sparkSession)
+    good = labels.where((F.col("quality") == 1) & (_half() == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"))
+    target = _counts(_labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good), buckets)
+    if not target.any():
         return np.zeros(buckets)
-    raw, total = (counts[0] + 1) / (counts[0].sum() + buckets), counts[1].sum()
-    return np.log((counts[1] / total + PRIOR * raw) / (1 + PRIOR) / raw)
+    raw = _counts(docs, buckets)
+    raw, total = (raw + 1) / (raw.sum() + buckets), target.sum()
+    return np.log((target / total + PRIOR * raw) / (1 + PRIOR) / raw)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -138,31 +146,42 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return hi
 
 
-def best_cut(weights: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> float:
-    """The log weight that parts labelled good from bad best; the losses are shares, that of good ones LOSS times."""
-    known = _bounded(labels.where(F.col("quality").isNotNull() & (_half() == 1)), max_labels)
-    known = known.select(F.col("doc_id").cast("long").alias("_id"), "quality")
-    rows = weights.join(known, F.col("doc_id") == F.col("_id")).select("log_weight", "quality").toPandas()  # bounded
-    good = np.sort(rows.log_weight[rows.quality == 1].to_numpy())
-    bad = np.sort(rows.log_weight[rows.quality != 1].to_numpy())
-    if not len(good):
-        return 0.0
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost, kept = np.searchsorted(good, cuts) / len(good), 1 - np.searchsorted(bad, cuts) / max(len(bad), 1)
-    return float(cuts[np.argmin(LOSS * lost + kept)])
+def best_cut(weights: DataFrame, labels: DataFrame) -> float:
+    """The log weight that parts labelled good from bad best; the losses are shares, that of good ones LOSS times.
 
-
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS, seed: int = SEED) -> DataFrame:
+    Weights are dealt out by range, so that each of them is tried by its place in a range and the counts of those before.
+    """
+    known = labels.where(F.col("quality").isNotNull() & (_half() == 1)).select(F.col("doc_id").cast("long").alias("_id"), "quality")
+    good, bad = (F.count(F.when(c, 1)).alias(name) for name, c in (("good", F.col("quality") == 1), ("bad", F.col("quality") != 1)))
+    values = weights.join(known, F.col("doc_id") == F.col("_id")).groupBy("log_weight").agg(good, bad)
+    values = cut(values.repartitionByRange("log_weight").withColumn("part", F.spark_partition_id()), "labelled")
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    parts = values.groupBy("part").agg(F.min("log_weight").alias("least"), *sums).orderBy("least").collect()  # one row a partition
+    goods, bads = sum(r.good for r in parts), sum(r.bad for r in parts)
+    if not goods:
+        return 0.0
+    before = [(r.part, sum(x.good for x in parts[:i]), sum(x.bad for x in parts[:i])) for i, r in enumerate(parts)]
+    before = F.broadcast(weights.sparkSession.createDataFrame(before, "_part int, _good long, _bad long"))
+    earlier = Window.partitionBy("part").orderBy("log_weight").rowsBetween(Window.unboundedPreceding, -1)
+    less = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("good", "bad")]
+    tried = values.select("log_weight", "part", *less).join(before, F.col("part") == F.col("_part"))
+    loss = LOSS * ((F.col("good") + F.col("_good")) / goods) + (1 - (F.col("bad") + F.col("_bad")) / max(bads, 1))
+    best = tried.agg(F.min(F.struct(loss.alias("loss"), "log_weight"))["log_weight"].alias("best")).first().best
+    drop(values)
+    return best
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash, log_weight, key and ``kept`` of every document; ``text_hash`` tells rows of one id apart.
 
     ``labels`` has ``doc_id`` and ``quality`` (1: good).
     """
-    ratio = fit(docs, labels, max_labels)
+    ratio = fit(docs, labels)
     weights = cut(weigh(docs, ratio, temperature, seed), "weights")
     if not ratio.any():
         return weights.withColumn("kept", F.lit(True))
     if k is None:
-        k = weights.where(F.col("log_weight") >= best_cut(weights, labels, max_labels)).count()
+        k = weights.where(F.col("log_weight") >= best_cut(weights, labels)).count()
     bound = kth_largest(weights, "key", k)
     return weights.withColumn("kept", F.lit(True) if bound is None else F.col("key") >= F.lit(bound))
 
