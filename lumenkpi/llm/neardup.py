@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm import textkernel as K
 from lumenkpi.llm.components import components
-from lumenkpi.llm.shared import cut, drop, ship, table
+from lumenkpi.llm.shared import cut, drop, screen, ship, table
 
 WIDTH = 5
 SIMILARITY = Fraction(3, 4)
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, t: int = 128, rows: int | None = None, widt
 
     def text_of(found: DataFrame) -> DataFrame:
         found = found.select("nid", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
-        return source.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("nid", "text")
+        return screen(source, ["doc_id", "h"], found, ["_id", "_h"]).join(found, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("nid", "text")
 
     _, merged = linked_classes(signatures, classes, key, text_of, t, width, similarity)
     named = classes.join(merged.withColumnRenamed("node", "nid"), "nid", "left").select("s1", "s2", F.coalesce("component", "nid").alias("c"), F.col("rep.doc_id").alias("least"))

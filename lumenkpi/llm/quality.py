@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
+from lumenkpi.llm.shared import cut, drop, fold, screen, ship, table, unfold
 
 BUCKETS = 10_000
-WORDS = 1 << 20  # of 64 bits each, in the filter before the join with labels
 PRIOR = 0.2
 LOSS = 10.0
 TEMPERATURE = 1.0
@@ -58,16 +57,9 @@ def _half(label_id: str = "doc_id") -> F.Column:
 
 
 def _labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``ids``.
-
-    A bitmap of hashed ids (``WORDS`` rows at most) comes first, so that the join moves few texts that it does not keep.
-    """
-    place = F.xxhash64("doc_id")
-    word, bit = F.pmod(place, F.lit(WORDS)), F.pmod(F.shiftright(place, 32), F.lit(64)).cast("int")
-    marks = ids.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
-    marks = marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    some = docs.join(F.broadcast(marks), (word == F.col("_word")) & (F.call_function("shiftright", "_bits", bit).bitwiseAND(1) == 1), "left_semi")
-    return some.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    """The rows of ``docs`` whose ``doc_id`` is in ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return screen(docs, ["doc_id"], ids, ["_id"]).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
 
 
 def _counts(docs: DataFrame, buckets: int) -> np.ndarray:

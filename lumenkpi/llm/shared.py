@@ -111,6 +111,25 @@ def spread(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+#: Words of 64 bits in the bitmap of :func:`screen`.
+WORDS = 1 << 20
+
+
+def screen(rows: DataFrame, key: list[str], found: DataFrame, found_key: list[str]) -> DataFrame:
+    """The ``rows`` whose key may be in ``found``: all that are, and few others, so that a join after it moves few texts.
+
+    The test is a broadcast bitmap of hashed keys, of ``WORDS`` rows at most; with far more keys than bits it passes all.
+    """
+    def places(names: list[str]) -> tuple[Column, Column]:
+        h = F.xxhash64(*names)
+        return F.pmod(h, F.lit(WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+    word, bit = places(found_key)
+    marks = found.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = places(key)
+    return rows.join(F.broadcast(marks), (word == F.col("_word")) & (F.call_function("shiftright", "_bits", bit).bitwiseAND(1) == 1), "left_semi")
+
+
 def fold(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and all columns but the text in one struct, so that no name of theirs can clash."""
     rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenkpi.llm import quality as Q
+from lumenkpi.llm import shared
 
 N = 60_000
 
@@ -39,10 +40,10 @@ def test_cut_without_good_or_bad_labels(spark):
     assert Q.best_cut(weights.where("log_weight > 1"), of(1)) == 2.0
 
 
-@pytest.mark.parametrize("words", [Q.WORDS, 4])
+@pytest.mark.parametrize("words", [shared.WORDS, 4])
 def test_models_of_all_labels(spark, labels, monkeypatch, words):
     """Also with a filter of 256 bits, which lets all documents pass."""
-    monkeypatch.setattr(Q, "WORDS", words)
+    monkeypatch.setattr(shared, "WORDS", words)
     docs = labels.select("doc_id", F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5))).alias("text"))
     texts = docs.toPandas().set_index("doc_id").text
     chosen = halves(labels)[0].query("quality == 1").doc_id
