@@ -28,10 +28,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = spread(both.groupBy("u").agg(F.min("v").alias("m"))).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = spread(both.groupBy("u").agg(F.min("v").alias("m")), rows=2 * state[0]).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "links", 2 * state[0])
-        least = spread(large.groupBy("u").agg(F.min("v").alias("m"))).select(F.col("u").alias("w"), "m")
+        least = spread(large.groupBy("u").agg(F.min("v").alias("m")), rows=2 * state[0]).select(F.col("u").alias("w"), "m")
         rest = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = cut(rest.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "links", 4 * state[0])
         before, state = state, _state(small)

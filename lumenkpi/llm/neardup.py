@@ -190,27 +190,25 @@ def _open_pairs(members: DataFrame, texts: DataFrame, width: int, similarity: Fr
 
 
 def classes_of(signatures: DataFrame, key: list[str]) -> DataFrame:
-    """One row per distinct non-empty set: s1, s2, its least row by ``key`` (as ``rep``), and an id ``nid``."""
-    found = signatures.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(*key)).alias("rep"))
-    return cut(found.select("s1", "s2", "rep", F.monotonically_increasing_id().alias("nid")), "classes", signatures.count())
+    """One row per distinct non-empty set: s1, s2, its least row by ``key`` (as ``rep``) with that row's signature, and an id ``nid``."""
+    more = [c for c in ("n", "bands", "sketch") if c in signatures.columns]
+    found = signatures.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct(*key, *more)).alias("_least"))
+    first = F.struct(*[F.col(f"_least.{k}").alias(k) for k in key]).alias("rep")
+    return cut(found.select("s1", "s2", first, *[f"_least.{c}" for c in more], F.monotonically_increasing_id().alias("nid")), "classes", signatures.count())
 
 
 def linked_classes(
-    signatures: DataFrame, classes: DataFrame, key: list[str], text_of: Callable[[DataFrame], DataFrame], t: int | None = None, width: int = WIDTH, similarity: Fraction = SIMILARITY,
+    classes: DataFrame, text_of: Callable[[DataFrame], DataFrame], t: int | None = None, width: int = WIDTH, similarity: Fraction = SIMILARITY,
     apart: Callable[[Column, Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between classes: (links found, the component of each class that has a link).
 
-    ``text_of`` gets (nid, rep) rows and returns (nid, text).  ``t`` is the number of coordinates of the signatures'
+    ``text_of`` gets (nid, rep) rows and returns (nid, text).  ``t`` is the number of coordinates of the classes'
     ``sketch``; without it only sizes are compared before full sets.  Pairs whose representatives are not ``apart`` (a
     condition on both) are not linked to each other.
     """
     n = classes.count()  # bounds the rows of what follows
-    members = classes.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep", "nid")
-    same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))
-    for k in key:
-        same &= F.col(k).eqNullSafe(F.col(f"rep.{k}"))
-    reps = cut(signatures.where("n > 0").join(members, same).select("nid", "n", "bands", "rep", *["sketch"] * (t is not None)), "reps", n)
+    reps = classes.select("nid", "n", "bands", "rep", *["sketch"] * (t is not None))
     banded = reps.select("nid", F.explode("bands").alias("bucket"))
     drawn = F.struct(F.xxhash64("nid", "bucket").alias("x"), "nid")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(drawn)["nid"].alias("pivot"), F.max(drawn)["nid"].alias("second")).where("size > 1")
@@ -241,7 +239,7 @@ def linked_classes(
     pairs = _open_pairs(here, texts, width, similarity)
     more = cut(_verified(_likely(pairs, reps, t, similarity, apart), texts, width, similarity), "links", TEXT * n)
     merged = _merged(joined, more, n) if more.count() else joined
-    for done in (texts, reps, full):
+    for done in (texts, full):
         drop(done)
     return links.union(more), merged
 
@@ -268,7 +266,7 @@ def near_duplicates(docs: DataFrame, t: int = 128, rows: int | None = None, widt
         found = found.select("nid", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
         return screen(source, ["doc_id", "h"], found, ["_id", "_h"]).join(found, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("nid", "text")
 
-    _, merged = linked_classes(signatures, classes, key, text_of, t, width, similarity)
+    _, merged = linked_classes(classes, text_of, t, width, similarity)
     named = classes.join(merged.withColumnRenamed("node", "nid"), "nid", "left").select("s1", "s2", F.coalesce("component", "nid").alias("c"), F.col("rep.doc_id").alias("least"))
     names = named.groupBy("c").agg(F.min("least").alias("component_id"))
     named = named.select("s1", "s2", "c").join(names, "c").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "component_id")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenkpi.llm import neardup
 from lumenkpi.llm import textkernel as K
-from lumenkpi.llm.shared import cut, drop, fold, ship, table, unfold
+from lumenkpi.llm.shared import cut, drop, fold, screen, ship, table, unfold
 
 WIDTH = neardup.WIDTH
 #: The least passage that the registered query looks for, in words.  The operator takes any.
@@ -175,7 +175,8 @@ def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     wanted = found.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h")).agg(F.collect_list(F.struct("nid", F.col("rep.start").alias("start"), F.col("rep.stop").alias("stop"))).alias("wanted"))  # within one text
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return source.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "wanted").mapInArrow(run, "nid long, text string")
+    places = found.select(F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
+    return screen(source, ["doc_id", "h"], places, ["_id", "_h"]).join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "wanted").mapInArrow(run, "nid long, text string")
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
@@ -190,7 +191,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = WIDTH) -> DataFrame:
     signatures = _colliding(found)
     drop(found)
     classes = neardup.classes_of(signatures, KEY)
-    _, merged = neardup.linked_classes(signatures, classes, KEY, lambda wanted: _texts(docs, wanted), apart=_apart)
+    _, merged = neardup.linked_classes(classes, lambda wanted: _texts(docs, wanted), apart=_apart)
     named = classes.join(merged.withColumnRenamed("node", "_node"), F.col("nid") == F.col("_node"), "left").select("s1", "s2", "nid", "rep", F.coalesce("component", "nid").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("rep", "nid")).alias("_first")).select(F.col("component").alias("_c"), "_first")
     named = named.join(first, F.col("component") == F.col("_c")).select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("_first.rep").alias("rep"), (F.col("nid") == F.col("_first.nid")).alias("_equal"))

@@ -106,9 +106,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, *cols: Column | str) -> DataFrame:
-    """Deal rows out anew over the session's number of shuffle partitions."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+def spread(df: DataFrame, *cols: Column | str, rows: int | None = None) -> DataFrame:
+    """Deal rows out anew over the session's number of shuffle partitions, or fewer where an upper bound of ``rows`` is known to be small."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        n = min(n, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+    return df.repartition(n, *cols)
 
 
 #: Words of 64 bits in the bitmap of :func:`screen`.
